@@ -69,7 +69,7 @@ def planes(prints: np.ndarray) -> np.ndarray:
     n = -(-len(prints) // 64) * 64
     bits = np.zeros((n, BITS), np.uint8)
     bits[: len(prints)] = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
 
 
 def within(block: np.ndarray, n: int, query: int, radius: int) -> np.ndarray:
