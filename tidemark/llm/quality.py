@@ -7,7 +7,6 @@ Only DataFrame functions touch the rows. What reaches the driver is one count fo
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +18,12 @@ SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: The measures that rules look at: (name, measure, votes bad if true, votes good if true); else the rule abstains.
-RULES = ("symbols", "capitals", "word_length", "repeats", "repeated_lines", "line_ends")
+#: Detectors vote bad or abstain, the last two vote good or abstain: no sign of one fault says nothing about another.
+RULES = ("symbols", "capitals", "word_length", "repeats", "repeated_lines", "line_ends", "prose", "ordinary")
+#: A rule is taken to be right so often before any text is seen; as if so many texts had shown it.
+TRUSTED, TRUSTED_TEXTS = 0.85, 20.0
+#: No rule counts as worse than this or as certain.
+WORST, BEST = 0.55, 0.999
 EM_ROUNDS = 100
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ended")
 
@@ -73,60 +76,53 @@ def votes(n: dict[str, str]) -> dict[str, Column]:
     c = {k: F.col(v).cast("double") for k, v in n.items()}
     words, lines = F.greatest(c["n_words"], F.lit(1.0)), F.greatest(c["n_lines"], F.lit(1.0))
 
-    def vote(measure: Column, bad: Column, good: Column) -> Column:
-        return F.when(measure.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
-
     symbols, capitals, length = c["n_symbols"] / words, c["n_upper"] / F.greatest(c["word_chars"], F.lit(1.0)), c["word_chars"] / words
-    repeats, repeated, ended = c["n_repeat_words"] / words, F.when(c["n_lines"] >= 3, c["n_dup_lines"] / lines), F.when(c["n_lines"] >= 1, c["n_ended"] / lines)
-    return {
-        "symbols": vote(symbols, symbols > 0.1, symbols < 0.02),
-        "capitals": vote(capitals, capitals > 0.3, capitals < 0.1),
-        "word_length": vote(length, (length < 2.5) | (length > 12), (length > 3.5) & (length < 9)),
-        "repeats": vote(repeats, repeats > 0.3, repeats < 0.1),
-        "repeated_lines": vote(repeated, repeated > 0.3, repeated < 0.1),
-        "line_ends": vote(ended, ended < 0.1, ended > 0.6),
-    }
-
-
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> dict:
-    """EM of a two-class model with independent rules: the prior of good, and each rule's chance of each vote in each class.
-
-    It starts from the belief that one bad vote makes a text suspect, which tells the classes apart; one added count for each
-    vote keeps every chance above zero. The order of the patterns is fixed, so equal counts give equal estimates.
-    """
+    repeats, repeated, ended = c["n_repeat_words"] / words, F.when(c["n_lines"] >= 3, c["n_dup_lines"] / lines).otherwise(0.0), c["n_ended"] / lines
+    bad = lambda test: F.when(test, -1).otherwise(0)
+    good = lambda test: F.when(test, 1).otherwise(0)
+    tests = (
+        bad(symbols > 0.1),
+        bad(capitals > 0.3),
+        bad((length < 2.5) | (length > 12)),
+        bad(repeats > 0.3),
+        bad(repeated > 0.3),
+        bad(ended < 0.1),
+        good((ended > 0.5) & (symbols < 0.05) & (capitals < 0.15)),
+        good((length > 3.0) & (length < 9.0) & (symbols < 0.1) & (repeats < 0.2) & (capitals < 0.2)),
+    )
+    return dict(zip(RULES, tests, strict=True))
+
+
+def estimate(counts: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> list[float]:
+    """EM of a model in which each text is good or bad (alike likely before the votes) and each rule's vote is right with a
+    chance of its own: those chances. Whether a rule votes at all says nothing. The order of the patterns is fixed, so equal
+    counts give equal estimates; no patterns give the chances that the rules start from."""
     patterns = sorted(counts)
-    if not patterns:
-        return {"good": 0.5, "chance": []}
-    rules = len(patterns[0])
-    good = {p: 0.05 if -1 in p else 0.95 for p in patterns}
-    model: dict = {}
+    right = [TRUSTED] * len(RULES)
     for _ in range(rounds):
-        total = [sum(counts[p] * (1 - good[p]) for p in patterns), sum(counts[p] * good[p] for p in patterns)]
-        chance = []
-        for j in range(rules):
-            seen = [{v: 1.0 for v in (-1, 0, 1)} for _ in range(2)]
+        good = {p: posterior(right, p) for p in patterns}
+        new = []
+        for j in range(len(RULES)):
+            agreed, voted = TRUSTED * TRUSTED_TEXTS, TRUSTED_TEXTS
             for p in patterns:
-                seen[0][p[j]] += counts[p] * (1 - good[p])
-                seen[1][p[j]] += counts[p] * good[p]
-            chance.append([{v: s / (total[y] + 3) for v, s in seen[y].items()} for y in range(2)])
-        model = {"good": (total[1] + 1) / (sum(total) + 2), "chance": chance}
-        new = {p: posterior(model, p) for p in patterns}
-        moved = max(abs(new[p] - good[p]) for p in patterns)
-        good = new
-        if moved < 1e-9:
+                if p[j]:
+                    agreed += counts[p] * (good[p] if p[j] > 0 else 1 - good[p])
+                    voted += counts[p]
+            new.append(min(BEST, max(WORST, agreed / voted)))
+        moved = max(abs(a - b) for a, b in zip(new, right, strict=True))
+        right = new
+        if moved < 1e-12:
             break
-    return model
+    return right
 
 
-def weights(model: dict) -> tuple[float, list[dict[int, float]]]:
-    """Log odds of good: the prior's, and those that each rule's vote adds."""
-    return math.log(model["good"] / (1 - model["good"])), [{v: math.log(c[1][v] / c[0][v]) for v in (-1, 0, 1)} for c in model["chance"]]
+def weights(right: list[float]) -> list[float]:
+    """What a rule's vote adds to, or takes from, the log odds of good."""
+    return [math.log(a / (1 - a)) for a in right]
 
 
-def posterior(model: dict, pattern: tuple[int, ...]) -> float:
-    prior, added = weights(model)
-    x = prior + sum(w[v] for w, v in zip(added, pattern, strict=True))
-    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+def posterior(right: list[float], pattern: tuple[int, ...]) -> float:
+    return 1 / (1 + math.exp(-sum(w * v for w, v in zip(weights(right), pattern, strict=True))))
 
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> tuple[DataFrame, dict[str, str]]:
@@ -134,7 +130,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
 
     A text under LEAST_WORDS words or with more than MOST_REPEATED per cent of its words in repeated windows fails the base
     and is not kept; of the others those with quality of at least ``threshold`` are. The rules' chances come from all rows
-    that pass the base. Null and empty texts fail the base; an empty table stays empty.
+    that pass the base; a text on which no rule votes has quality 0.5 and is kept. Null and empty texts fail the base; an empty table stays empty.
     """
     rows, names = measured(docs, text, keep)
     names |= dict(zip(("base_failed", "quality", "kept"), fresh(rows, "base_failed", "quality", "kept"), strict=True))
@@ -143,15 +139,11 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
     failed = (n < LEAST_WORDS) | (100 * r > MOST_REPEATED * n)
     rows = written(rows.withColumns({names["base_failed"]: failed, rule: F.array(*votes(names).values())}), "measured")
     seen = rows.where(~F.col(names["base_failed"])).groupBy(rule).count().collect()
-    model = estimate({tuple(x[0]): x[1] for x in seen})
-    quality = F.lit(0.5)
-    if model["chance"]:
-        prior, added = weights(model)
-        odds = F.lit(prior)
-        for j, w in enumerate(added):
-            table = F.create_map(*chain.from_iterable((F.lit(v), F.lit(x)) for v, x in w.items()))
-            odds = odds + table[F.get(rule, F.lit(j))]
-        quality = 1 / (1 + F.exp(-F.greatest(odds, F.lit(-700.0))))
+    right = estimate({tuple(x[0]): x[1] for x in seen})
+    odds = F.lit(0.0)
+    for j, w in enumerate(weights(right)):
+        odds = odds + F.lit(w) * F.get(rule, F.lit(j))
+    quality = 1 / (1 + F.exp(-odds))
     rows = rows.withColumn(names["quality"], quality)
     return rows.withColumn(names["kept"], ~F.col(names["base_failed"]) & (F.col(names["quality"]) >= threshold)).drop(rule), names
 
