@@ -57,4 +57,26 @@ def test_op10(spark, sf, tables):
     assert not any(r.kept for r in rows if r.base_failed)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
+    junk = [r for r in rows if labels.get(r.doc_id) == 0 and not r.base_failed]
     assert sum(r.kept for r in good) >= 0.97 * len(good)
+    assert not junk or sum(r.kept for r in junk) <= 0.5 * len(junk)
+
+
+def test_op4(spark, sf, tables):
+    docs, _ = tables
+    ids = list(docs)
+    want = dict(zip(ids, brute.repeats([docs[i] for i in ids]), strict=True))
+    rows = QUERIES["op4_suffix_dedup"](spark, sf).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert got == {i: (len((docs[i] or "").encode()), want[i][1], want[i][2], hashlib.sha256(want[i][0]).hexdigest()) for i in ids}
+
+
+def test_op8(spark, sf, tables):
+    docs, _ = tables
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op8_language"](spark, sf).collect()
+    assert len(rows) == len(docs)
+    held = [r for r in rows if r.held_out]
+    assert {r.doc_id for r in held} == {d for d in docs if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, simhash
+from . import decontam, language, lines, mixing, quality, scoring, sharding, simhash, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.octet_length("kept_text").cast("long").alias("kept_bytes"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -34,15 +39,44 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_raw", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    frequent, net = scoring.fit(docs)
+    return scoring.score(docs, frequent, net, keep=["doc_id"])[0]
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count(docs, tokens.pieces_of(vocabulary), keep=["doc_id"])
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    net = language.fit(docs.where(part != 2).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return language.predict(docs.drop("lang"), net, keep=["doc_id", "held_out"])
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, copy="copy", order="shuffle_key")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op4_suffix_dedup, op5_simhash, op6_lm_scoring, op7_token_count, op8_language, op9_mixing, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
