@@ -67,7 +67,8 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     five = four.select(*kept, *rest, F.sort_array(F.transform(alike, lambda x: x["p"])).alias(places))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at"))
     step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["at"])).alias("n"), x.alias("at"))
-    six = five.select(*kept, *rest, F.coalesce(F.aggregate(places, start, step)["n"], F.lit(0).cast("long")).alias(names["n_repeat_words"]))
+    repeated = F.coalesce(F.aggregate(places, start, step)["n"], F.lit(0).cast("long"))
+    six = five.select(*kept, *[repeated.alias(names[f]) if f == "n_repeat_words" else names[f] for f in FEATURES])
     return six, names
 
 

@@ -61,7 +61,7 @@ def number(rows: DataFrame, shard: str = "shard", key: str = "doc_id", tie: tupl
     into buckets of about ROWS_PER_BUCKET rows, one small table holds how many rows lie before each bucket, and only a
     bucket is sorted in one task. The places don't depend on the number of buckets. Equal rows are numbered in any order.
     """
-    order, bucket, before, seen = fresh(rows, "order", "bucket", "before", "seen")
+    order, bucket, before, seen, of_shard, of_bucket = fresh({*rows.columns, slot}, "order", "bucket", "before", "seen", "of_shard", "of_bucket")
     rows = rows.withColumn(order, F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
     digits = 1
     n = rows.count()
@@ -70,8 +70,8 @@ def number(rows: DataFrame, shard: str = "shard", key: str = "doc_id", tie: tupl
     rows = rows.withColumn(bucket, F.substring(order, 1, digits))
     sizes = rows.groupBy(shard, bucket).agg(F.count("*").alias(seen))
     ahead = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(shard).alias("of_shard"), F.col(bucket).alias("of_bucket"), F.coalesce(F.sum(seen).over(ahead), F.lit(0)).alias(before))
+    sizes = sizes.select(F.col(shard).alias(of_shard), F.col(bucket).alias(of_bucket), F.coalesce(F.sum(seen).over(ahead), F.lit(0)).alias(before))
     inside = Window.partitionBy(shard, bucket).orderBy(order, *tie)
     rows = rows.withColumn(slot, F.row_number().over(inside).cast("long") - 1)
-    joined = rows.join(sizes, (rows[shard] == sizes["of_shard"]) & (rows[bucket] == sizes["of_bucket"]))
-    return joined.withColumn(slot, F.col(slot) + F.col(before)).drop(order, bucket, before, "of_shard", "of_bucket")
+    joined = rows.join(sizes, (F.col(shard) == F.col(of_shard)) & (F.col(bucket) == F.col(of_bucket)))
+    return joined.withColumn(slot, F.col(slot) + F.col(before)).drop(order, bucket, before, of_shard, of_bucket)

@@ -139,7 +139,7 @@ class Contexts:
         o = np.array(order)
         common = self.extension(o[:-1], o[1:], lens, hashes)
         checked = self.extension_by_bytes(o[:-1], o[1:], rows, lens)
-        wrong = checked != common
+        wrong = (checked != common) | ~self.in_order(o[:-1], o[1:], checked, rows, lens)
         if wrong.any():  # hashes of different bytes met: those groups are sorted by their bytes
             for g in np.unique(self.group[o[:-1][wrong]]).tolist():
                 own = np.flatnonzero(self.group[o] == g)
@@ -183,6 +183,11 @@ class Contexts:
         first = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
         return np.minimum(first, np.minimum(lens[i], lens[j]))
 
+    def in_order(self, i: np.ndarray, j: np.ndarray, common: np.ndarray, rows: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        at = np.minimum(common, rows.shape[1] - 1)
+        ends = (common == lens[i]) | (common == lens[j])
+        return (self.group[i] != self.group[j]) | np.where(ends, lens[i] <= lens[j], rows[i, at] < rows[j, at])
+
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """For each context how far strings that occur twice and hold the gram reach before and after it; -1: no such string.
 
