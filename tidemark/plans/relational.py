@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys
-from ..operators import matching, reports, rows, selection, state
+from ..operators import browse, matching, reports, rows, selection, state
 from ..streaming.jobs import publication_batch
 from .registry import TODAY, Tables, query
 
@@ -365,3 +365,48 @@ def sources_per_region(t: Tables) -> DataFrame:
 @query("""SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, max(turn) AS last_turn, round(avg(len(text)), 1) AS mean_chars FROM conversations GROUP BY conv_id""")
 def conversation_summary(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.max("turn").alias("last_turn"), F.round(F.avg(F.length("text")), 1).alias("mean_chars"))
+
+
+@query("""SELECT o_orderkey, o_orderdate, n_nationkey AS source, CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END AS undated FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'an') OR n_nationkey IN (1, 2)""")
+def keyword_filter(t: Tables) -> DataFrame:
+    n = t.nation.where(browse.keyword(F.lower("n_name"), F.lit("an")) | F.col("n_nationkey").isin(1, 2))
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select("o_orderkey", "o_orderdate", F.col("n_nationkey").alias("source"), F.when(F.col("o_orderdate").isNull(), 1).otherwise(0).alias("undated"))
+
+
+@query("""SELECT c_mktsegment AS region, c_nationkey AS source, count(*) AS total, count(*) FILTER (WHERE c_custkey % 40 = 0) AS new_today, CAST(grouping(c_mktsegment, c_nationkey) AS BIGINT) AS level, count(*) FILTER (WHERE c_custkey % 40 = 0) > 0 AS hot FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)""")
+def sidebar_counts(t: Tables) -> DataFrame:
+    c = t.customer.select(F.col("c_mktsegment").alias("region"), F.col("c_nationkey").alias("source"), F.when(F.col("c_custkey") % 40 == 0, today()).otherwise(F.date_sub(today(), 5)).alias("day"))
+    return browse.side_counts(c, "region", "source", "day", today())
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 9 = 0""")
+def exact_batch_view(t: Tables) -> DataFrame:
+    return browse.exact_batch(t.part.select("p_partkey"), t.lineitem.select((F.col("l_partkey") * 9).alias("p_partkey")).unionByName(t.part.where("p_partkey % 9 = 0").select("p_partkey")), "p_partkey").where("p_partkey % 9 = 0")
+
+
+@query("""SELECT o_custkey AS notice_id, 'u' || o_orderkey AS url, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS gone, o_orderkey % 10 = 0 AS hidden FROM orders""")
+def bookmark_flags(t: Tables) -> DataFrame:
+    saved = t.orders.select(F.col("o_custkey").alias("notice_id"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))
+    rows_ = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("notice_id"))
+    return browse.bookmarks(saved, rows_, t.orders.where("o_orderkey % 10 = 0").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url")))
+
+
+@query("""SELECT s_suppkey, s_nationkey AS source, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def source_regions(t: Tables) -> DataFrame:
+    regions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_regionkey").alias("ord"), F.col("r_name").alias("region")).agg(F.collect_list("n_nationkey").alias("sources"))
+    return browse.with_region(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("source")), regions)
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT kind) AS kinds FROM (SELECT o_orderkey, 'recent' AS kind FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' UNION ALL SELECT o_orderkey, 'late' AS kind FROM orders WHERE o_orderdate < TIMESTAMP '1992-03-01')""")
+def union_new_and_late(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_orderdate")
+    both = o.where("o_orderdate >= timestamp'1998-01-01'").withColumn("kind", F.lit("recent")).unionByName(o.where("o_orderdate < timestamp'1992-03-01'").withColumn("kind", F.lit("late")))
+    return both.agg(F.count("*").alias("n"), F.count_distinct("kind").alias("kinds"))
+
+
+@query("""SELECT o_custkey, min(day) AS day, arg_max(status, isnew) AS status FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderkey, o_orderstatus AS status, 0 AS isnew FROM orders WHERE rn = 1 UNION ALL SELECT o_custkey, DATE '2000-01-01' AS day, 0 AS o_orderkey, 'N' AS status, 1 AS isnew FROM orders WHERE rn = 1 AND o_custkey % 2 = 0) GROUP BY o_custkey""".replace("FROM orders WHERE rn = 1", "FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1"))
+def first_seen_day_never_moves(t: Tables) -> DataFrame:
+    old = rows.first_seen(t.orders.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status")), "o_custkey", ["o_orderkey"]).drop("o_orderkey")
+    new = old.where("o_custkey % 2 = 0").select("o_custkey", F.lit("2000-01-01").cast("date").alias("day"), F.lit("N").alias("status"))
+    return state.merged_days(old, new, ["o_custkey"], "day", ["status"])
