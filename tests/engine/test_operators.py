@@ -26,8 +26,8 @@ def test_classifier(spark, title, body, want):
 
 
 def test_classifier_sources_and_topics(spark):
-    df = spark.createDataFrame([("x", "Scout System"), ("大露營同樂日", "a")], "title string, source string")
-    got = classify.classify(df, "title", None, "source").select("category", classify.category_topic(F.col("category")).alias("t")).collect()
+    df = spark.createDataFrame([("x", "Tool Box"), ("大露營同樂日", "a")], "title string, source string")
+    got = classify.classify(df, "title", None, "source", tools_sources=["Tool Box"]).select("category", classify.category_topic(F.col("category")).alias("t")).collect()
     assert [r.t for r in got] == ["category:tools", "activity:big-camp"] and got[1].category.evidence == ["同樂日", "大露營"]
 
 

@@ -24,7 +24,6 @@ ANNOUNCEMENT = ("公告", "公布", "公佈")
 RESULT_PHRASES = ("成績公布", "成績公佈", "結果公布", "結果公佈", "公佈結果", "公布結果", "賽果公布", "賽果公佈")
 REFERENCE = ("行事曆", "一覽表", "訓練綱要", "課程大綱", "章程", "指引", "結果公布", "得獎名單", "名單", "便覽", "通告一覽")
 MONTHLY_DIGEST = r"通告[【\[].{0,20}?年.{0,10}?月"
-TOOLS_SOURCES = ("Scout System",)
 LABELS = {"training": "訓練", "service": "服務", "competition": "比賽", "activity": "活動", "announcement": "公布", "tools": "小工具"}
 
 SECTIONS = ("小童軍", "幼童軍", "童軍", "深資童軍", "樂行童軍")

@@ -41,11 +41,11 @@ def category(rules: Sequence[tuple[Column, str, Column]], default: str) -> Colum
     return out.otherwise(made(default, F.expr(EMPTY)))
 
 
-def classify(notices: DataFrame, title: str = "title", text: str | None = None, source: str | None = None, out: str = "category", match: bool = True) -> DataFrame:
+def classify(notices: DataFrame, title: str = "title", text: str | None = None, source: str | None = None, out: str = "category", match: bool = True, tools_sources: Sequence[str] = ("tools",)) -> DataFrame:
     """``notices`` with one category each.
 
     A title that says something decides; the start of the text only helps a title that says nothing, and there incidental
-    words don't count. Every term list is looked up once, in a projection of its own below the CASE.
+    words don't count. Rows of ``tools_sources`` are tools whatever they say. Every term list is looked up once, in a projection of its own below the CASE.
     """
     form = match_text if match else (lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")))
     base = notices.withColumn("_title", form(F.col(title)))
@@ -73,7 +73,7 @@ def classify(notices: DataFrame, title: str = "title", text: str | None = None,
     untitled = T_ == ""
     decisive = has(T["service"]) | has(T["competition"]) | has(T["training"]) | has(T["camp"]) | has(T["fire"])
     rules = [
-        (F.col("_source").isin(*t.TOOLS_SOURCES), "tools", F.array(F.col("_source"))),
+        (F.col("_source").isin(*tools_sources), "tools", F.array(F.col("_source"))),
         (has(T["lost"]), "announcement", T["lost"]),
         (has(T["rally"]) & has(T["service"]) & ~has(T["override"]), "service", T["service"]),
         (has(T["rally"]) & has(T["rally_competition"]), "competition", T["rally_competition"]),
