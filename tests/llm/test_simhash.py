@@ -64,10 +64,12 @@ ROWS = [
 
 def test_cluster_edges(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, fingerprint string")
-    got = sorted((str(r[0]), r[2]) for r in simhash.cluster(df.select("doc_id", "text")).collect())
+    found, n = simhash.cluster(df)
+    assert found.columns == ["doc_id", "fingerprint", "_fingerprint", "component_id"]
+    got = sorted((str(r.doc_id), r[n["component_id"]]) for r in found.collect())
     assert got == sorted([("1", 1), ("2", 1), ("2", 1), ("None", 1), ("3", 3), ("4", 3), ("5", 3), ("8", 3), ("6", 6), ("7", 7)])
     kept = simhash.keep_one(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "6", "7"]
     assert kept[0].asDict().keys() == {"doc_id", "text", "fingerprint"}
-    assert simhash.cluster(df.limit(0).select("doc_id", "text")).count() == 0
+    assert simhash.cluster(df.limit(0))[0].count() == 0
     assert simhash.keep_one(spark.createDataFrame([(None, "x y z"), (None, "x y z"), (None, "u v w")], "doc_id long, text string")).count() == 2

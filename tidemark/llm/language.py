@@ -184,10 +184,12 @@ def fit(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int =
 def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``keep`` (all of ``docs`` by default) with the language of each whole text and its mean probability over the bytes.
 
+    The two columns come last; underscores go before a name that is taken.
     A null text, a text without a letter, and any text if nothing was learned: ``und`` with score 0. Ties go to the first
     language in alphabetical order.
     """
     keep = docs.columns if keep is None else keep
+    lang, score = fresh(keep, lang, score)
     raw, = fresh({*docs.columns, lang, score}, "raw")
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 

@@ -48,7 +48,8 @@ def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", shard_col: str
     """``docs`` with the shard of each row, and with ``grown_col`` the shard it would have if there were one more.
 
     The key and the number of shards alone decide, so copies and retries agree and no row moves between old shards.
-    Null keys go where key 0 goes; rows with equal keys stay together; an empty table stays empty.
+    Null keys go where key 0 goes; rows with equal keys stay together; an empty table stays empty. Columns that have the
+    given names are replaced.
     """
     out = docs.withColumn(shard_col, jump_shard(F.col(key), shards))
     return out.withColumn(grown_col, jump_shard(F.col(key), shards + 1)) if grown_col else out

@@ -194,20 +194,25 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int,
         yield held[0].view(np.uint64), int(held[3][0]), int(held[4][0]), held[5]
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """Each row of ``docs`` with ``fingerprint`` (long), and ``component_id``: the smallest key of the rows reachable over links.
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``keep`` (all of ``docs`` but the text by default) with ``fingerprint`` (long), and ``component_id``: the smallest key of
+    the rows reachable over links; and the names of the two columns.
 
     Equal fingerprints are one node, so copies cost nothing beyond it; rows without words share fingerprint zero and link like
     any other; null keys take part but are never the smallest unless all are null. An empty table stays empty.
     """
-    prints = written(with_fingerprints(docs, text, "fingerprint", size).drop(text))
-    nodes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("low"))
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    names = dict(zip(("fingerprint", "component_id"), fresh({*docs.columns, *keep}, "fingerprint", "component_id"), strict=True))
+    fp, id_, t = fresh({*docs.columns, *names.values()}, "fp", "row_key", "row_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).alias(id_), F.col(text).alias(t))
+    prints = written(with_fingerprints(rows, t, names["fingerprint"], size).drop(t))
+    nodes = prints.groupBy(F.col(names["fingerprint"]).alias("fp")).agg(F.min(id_).alias("low"))
     roots = components(links(nodes.select("fp"), radius))
     known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     known = written(known)
-    lows = known.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    named = known.join(lows, known["root"] == lows["r"]).select("fp", "component_id")
-    return prints.join(named, prints["fingerprint"] == named["fp"]).drop("fp")
+    lows = known.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least"))
+    named = known.join(lows, known["root"] == lows["r"]).select(F.col("fp").alias(fp), F.col("least").alias(names["component_id"]))
+    return prints.join(named, F.col(names["fingerprint"]) == F.col(fp)).select(*[F.col(f"`{c}`") for c in keep], *names.values()), names
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
@@ -218,7 +223,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     tag, other, nth = fresh(docs, "row_tag", "row_tag2", "row_nth")
     values = [F.col(c) for c in docs.columns]
     tagged = docs.withColumns({tag: F.xxhash64(*values), other: F.xxhash64(F.lit(1), *values)})
-    found = cluster(tagged.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(tag).alias("a"), F.col(other).alias("b")), "id", "text", radius, size)
+    found = cluster(tagged.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(tag).alias("a"), F.col(other).alias("b")), "id", "text", radius, size)[0]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("first")
     stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("own")).agg(first).select(F.col("first.a").alias("stay_a"), F.col("first.b").alias("stay_b"))
     once = Window.partitionBy(tag, other).orderBy(F.lit(1))

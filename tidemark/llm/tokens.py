@@ -90,11 +90,12 @@ def count(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str
     """``keep`` (all of ``docs`` by default) with the words and tokens of each whole text.
 
     Words are parted by ASCII white space, case and all other characters count as they are. Null, empty and blank texts have
-    no words and no tokens.
+    no words and no tokens. The two columns come last; underscores go before a name that is taken.
     """
     if sum(len(p.encode()) for p in pieces) > MOST_BYTES:
         raise ValueError("the vocabulary is too large to send to every worker")
     keep = docs.columns if keep is None else keep
+    words, tokens = fresh(keep, words, tokens)
     raw, = fresh({*docs.columns, words, tokens}, "raw")
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField(words, T.LongType()), T.StructField(tokens, T.LongType())])
     held = docs.sparkSession.sparkContext.broadcast(pieces)
