@@ -46,7 +46,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return simhash.cluster(docs)[0].select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op4_suffix_dedup, op5_simhash, op6_lm_scoring, op7_token_count, op8_language, op9_mixing, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL = {
+    "op1_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, s, ls[s:s + 2] AS win FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS s FROM d)),
+l AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS rn FROM w) WHERE rn > 1),
+g AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS i FROM l),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE prev IS DISTINCT FROM i - 1) AS n_runs, list(i) AS gone FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g) GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10)) AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id)
+SELECT doc_id, n_lines, n_removed, n_runs, CAST(strlen(kept) AS BIGINT) AS kept_bytes, sha256(kept) AS kept_sha256 FROM k""",
+    "op3_decontamination": r"""
+WITH f AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, w[s:s + least(10, len(w)) - 1] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, s, w[s:s + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM f, sizes)),
+m AS (SELECT doc_id, dw.n AS n, s, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+h AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM f LEFT JOIN h ON f.doc_id = h.doc_id LEFT JOIN t ON f.doc_id = t.doc_id""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, md5(b[s + 1:s + 200]) AS k FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+p AS (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM r)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM p)),
+g AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY doc_id, run),
+e AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, list_concat([0], list(b ORDER BY a)) AS froms, list(a ORDER BY a) AS tos FROM g GROUP BY doc_id),
+k AS (SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+CASE WHEN froms IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(1, len(froms) + 1), lambda j: CASE WHEN froms[j] < coalesce(tos[j], octet_length(b)) THEN hex(b[froms[j] + 1:coalesce(tos[j], octet_length(b))]) ELSE '' END), '') END AS kept FROM d LEFT JOIN e ON d.doc_id = e.doc_id)
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
+    "op9_mixing": """
+WITH n AS (SELECT source, count(*) AS rows FROM documents GROUP BY source),
+r AS (SELECT source, 1.0::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE / (SELECT count(*) FROM n)::DOUBLE / rows::DOUBLE AS rate FROM n),
+u AS (SELECT doc_id, d.source AS source, text, rate, (CAST(('0x' || substr(md5('mix:0:' || doc_id), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+p AS (SELECT doc_id, source, text, u, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS chance FROM u, (SELECT unnest(range(0, 60)) AS k)),
+c AS (SELECT doc_id, source, text, count(*) FILTER (WHERE total < u) AS copies FROM (SELECT *, sum(chance) OVER (PARTITION BY doc_id ORDER BY k) AS total FROM p) GROUP BY doc_id, source, text)
+SELECT doc_id, source, text, copy, md5('mix:order:' || doc_id || ':' || copy) AS shuffle_key FROM (SELECT doc_id, source, text, unnest(range(1, copies + 1)) AS copy FROM c)""",
+}
