@@ -33,7 +33,7 @@ class Alphabet:
     def ids(self, words: list[bytes]) -> np.ndarray:
         """A word's own number, or that of the class of its last two bytes; words met are remembered for the task."""
         known = self.known
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = self.first + zlib.crc32(w[-2:]) % self.endings
         out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if len(known) > COUNTED:
