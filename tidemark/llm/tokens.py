@@ -108,7 +108,7 @@ def count(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str
             n_words, n_tokens = [], []
             for t in texts:
                 split = t.split() if t else []
-                for w in set(split) - known.keys():
+                for w in {w for w in split if w not in known}:
                     known[w] = automaton.count(START + w.decode("utf-8", "replace"))
                 n_words.append(len(split))
                 n_tokens.append(sum(map(known.__getitem__, split)))
