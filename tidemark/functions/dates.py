@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact
+from .text import compact, let
 
 # The civil day of the data, date shapes (pattern, groups of year, month and day) in order of trust, and labels of deadlines.
 ZONE = "Asia/Hong_Kong"
@@ -23,12 +23,14 @@ BEFORE = "(?:或之前|之前|前(?:交回|遞交|提交|呈交|寄回|寄交|
 
 def find_date(text: Column) -> Column:
     """The first valid date by the order of the shapes, as YYYY-MM-DD; null if none is valid. Impossible days fall through."""
-    c = compact(text)
-    tries = []
-    for pattern, order in SHAPES:
-        y, m, d = (F.regexp_extract(c, pattern, i) for i in order)
-        tries.append(F.when(y != "", F.date_format(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")))
-    return F.coalesce(*tries)
+    def tries(c: Column) -> Column:
+        found = []
+        for pattern, order in SHAPES:
+            y, m, d = (F.regexp_extract(c, pattern, i) for i in order)
+            found.append(F.when(c.rlike(pattern), F.date_format(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")))
+        return F.coalesce(*found)
+
+    return let(compact(text), tries)
 
 
 def first_of(values: Column) -> Column:
