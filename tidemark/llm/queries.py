@@ -89,6 +89,15 @@ g AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS i FROM l),
 n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE prev IS DISTINCT FROM i - 1) AS n_runs, list(i) AS gone FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g) GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10)) AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id)
 SELECT doc_id, n_lines, n_removed, n_runs, CAST(strlen(kept) AS BIGINT) AS kept_bytes, sha256(kept) AS kept_sha256 FROM k""",
+    "op2_sharding": """
+WITH RECURSIVE bits AS (SELECT i, i::UBIGINT AS c, 0 AS k FROM range(0, 256) AS t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END AS c, k + 1 AS k FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, octet_length(b) + 1 AS size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::UBIGINT)), lambda c, x: xor(c // 256, t[(xor(c % 256, x) % 256)::BIGINT + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM d, crc),
+j AS (SELECT doc_id, n, doc_id::HUGEINT AS key, -1::BIGINT AS b, 0::BIGINT AS ahead FROM documents, (SELECT unnest([8, 9]) AS n)
+UNION ALL SELECT doc_id, n, k AS key, ahead AS b, CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / ((k // 8589934592::HUGEINT) + 1)::DOUBLE)) AS BIGINT) AS ahead FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM j WHERE ahead < n)),
+p AS (SELECT doc_id, CAST(max(b) FILTER (WHERE n = 8) AS INTEGER) AS shard, CAST(max(b) FILTER (WHERE n = 9) AS INTEGER) AS grown_shard FROM j WHERE ahead >= n GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), size, text_crc32) - 1 AS slot, grown_shard FROM s JOIN p USING (doc_id)""",
     "op3_decontamination": r"""
 WITH f AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
