@@ -102,14 +102,14 @@ def test_suffix_dedup(spark, docs):
     assert suffixes.dedup(docs.limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize("seed,size,gram", [(0, 40, 12), (1, 30, 20), (2, 24, 8), (3, 40, 33)])
-def test_suffix_dedup_of_random_pieces(spark, seed, size, gram):
+@pytest.mark.parametrize("seed,size,gram,crowded", [(0, 40, 12, 1000), (1, 30, 20, 1000), (2, 24, 8, 1), (3, 40, 33, 1), (0, 40, 12, 3), (4, 40, 12, 0.001)])
+def test_suffix_dedup_of_random_pieces(spark, seed, size, gram, crowded):
     rng = np.random.default_rng(seed)
     pieces = ["".join(rng.choice(list("abcé"), rng.integers(3, 50))) for _ in range(12)]
     texts = ["".join(pieces[i] for i in rng.integers(0, 12, rng.integers(0, 12))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = brute.repeats(texts, size)
-    found, n = suffixes.dedup(df, size=size, gram=gram)
+    found, n = suffixes.dedup(df, size=size, gram=gram, crowded=crowded)
     assert {r.doc_id: (bytes(r[n["kept_raw"]]), r[n["n_removed"]], r[n["n_spans"]]) for r in found.collect()} == dict(enumerate(want))
 
 
@@ -174,7 +174,7 @@ def test_language(spark, docs):
     train = docs.select(F.col("doc_id").alias("key"), "text", "lang")
     net = language.fit(train, steps=5)
     assert net.languages == ["de", "en", "fr"]
-    rows = language.predict(docs, net, lang="own_lang", score="own_score").collect()
+    rows = language.predict(docs, net).withColumnsRenamed({"_lang_pred": "own_lang", "_score": "own_score"}).collect()
     for r in rows:
         none = r.text is None or not any(c.isalpha() for c in r.text)
         assert (r.own_lang == "und") == none and 0 <= r.own_score <= 1

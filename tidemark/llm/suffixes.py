@@ -26,6 +26,8 @@ GRAM = 64
 #: Bytes that are hashed at a time, and contexts that are sorted at a time (or one group, if that has more).
 BLOCK = 1 << 20
 SORTED = 1 << 14
+#: Different contexts that one group of a gram may have before it is split, and how many times more it may have for each further split.
+CROWDED, CROWDED_STEP = 1000, 30
 #: The base of the polynomial hashes; odd, so that it has an inverse.
 BASE = 0x9E3779B97F4A7C15
 SYMBOL = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -87,13 +89,22 @@ class Winnower:
         return np.repeat(own, np.diff(np.concatenate([[low], np.minimum(own, high)]))) - np.arange(low, high)
 
 
+#: Pairs of gram and context met twice that a task remembers; it forgets them all beyond that.
+REMEMBERED = 1 << 20
+
+
 def selected(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(key, ctx, rid, pos) of all selected places; ``docs``: (rid, raw). ``ctx`` hashes the bytes around that a string over the gram can have."""
+    """(key, ctx, rid, pos, twice) of all selected places; ``docs``: (rid, raw). ``ctx`` hashes the bytes around that a string over the gram can have.
+
+    Contexts that a task meets twice are settled there: one place stands for them under the gram's key, with ``twice`` set; the
+    others are dealt out under keys of their own. So copies, and text that repeats itself, make no hot key.
+    """
     reach = size - gram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnow = Winnower(size, gram)
         digest = xxhash.xxh3_64_intdigest
+        settled = np.zeros(0, np.uint64)
         for part, texts in slices(batches, "raw"):
             rows = [i for i, t in enumerate(texts) if t and len(t) >= size]
             if not rows:
@@ -107,26 +118,36 @@ def selected(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 start, end = ends[doc] - sizes[doc], ends[doc]
                 low, high = np.maximum(start, places - reach), np.minimum(end, places + size)
                 ctx = np.array([digest(whole[a:b], c) for a, b, c in zip(low.tolist(), high.tolist(), (places - low).tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rids[doc]), pa.array((places - start).astype(np.int32))], names=["key", "ctx", "rid", "pos"])
+                pos = places - start
+                pair = mixed(mixed(keys) + ctx)
+                met, first, which, n = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                before = np.isin(met, settled)
+                stands = np.zeros(len(pair), bool)
+                stands[first[~before]] = True
+                twice = ((n > 1) | before)[which]
+                settled = np.concatenate([settled if len(settled) < REMEMBERED else settled[:0], met[(n > 1) & ~before]])
+                own = mixed(mixed(rids[doc].astype(np.int64).view(np.uint64)) + pos.astype(np.uint64) + np.uint64(1))
+                keys = np.where(stands, keys, own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rids[doc]), pa.array(pos.astype(np.int32)), pa.array(twice)], names=["key", "ctx", "rid", "pos", "twice"])
 
-    return docs.mapInArrow(find, "key long, ctx long, rid long, pos int")
+    return docs.mapInArrow(find, "key long, ctx long, rid long, pos int, twice boolean")
 
 
 class Contexts:
-    """Different contexts of grams: rows of bytes after and (reversed) before the gram, with their lengths and groups."""
+    """Different contexts of grams: rows of bytes from the gram on and (reversed) before it, with their lengths and groups."""
 
     def __init__(self, group: np.ndarray, raw: list[bytes], at: np.ndarray, size: int, gram: int):
-        self.group, self.reach = group, size - gram
+        self.group, self.reach, self.gram = group, size - gram, gram
         self.sides = []
-        for after in (True, False):
-            rows = np.zeros((len(raw), self.reach), np.uint8)
+        for width in (size, size - gram):
+            rows = np.zeros((len(raw), width), np.uint8)
             lens = np.zeros(len(raw), np.int64)
             for i, (r, a) in enumerate(zip(raw, at.tolist(), strict=True)):
-                x = r[a + gram :] if after else r[:a][::-1]
+                x = r[a:] if width == size else r[:a][::-1]
                 rows[i, : len(x)] = np.frombuffer(x, np.uint8)
                 lens[i] = len(x)
-            hashes = np.zeros((len(raw), self.reach + 1), np.uint64)
-            np.cumsum(SYMBOL[rows] * powers(BASE, self.reach), axis=1, out=hashes[:, 1:])
+            hashes = np.zeros((len(raw), width + 1), np.uint64)
+            np.cumsum(SYMBOL[rows] * powers(BASE, width), axis=1, out=hashes[:, 1:])
             self.sides.append((rows, lens, hashes))
 
     def sort(self, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +223,7 @@ class Contexts:
         before, after = np.full(n, -1), np.full(n, -1)
         for o in range(self.reach + 1):
             own = []
-            for (order, common), need in zip(classes, (self.reach - o, o), strict=True):
+            for (order, common), need in zip(classes, (self.gram + self.reach - o, o), strict=True):
                 ids = np.empty(n, np.int64)
                 ids[order] = np.concatenate([[0], np.cumsum(common < need)])
                 ids[self.sides[len(own)][1] < need] = -1
@@ -259,7 +280,7 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.concatenate([reach[first[1:] - 1], reach[-1:]])], axis=1)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, keep: list[str] | None = None, crowded: int = CROWDED) -> tuple[DataFrame, dict[str, str]]:
     """``keep`` (all of ``docs`` by default) with ``kept_raw`` (binary, the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Every byte of a ``size``-byte string that also starts elsewhere in the table goes, as judged on the input. Null and
@@ -278,10 +299,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     known = places.select(
         "key", "ctx", "rid", "pos",
         F.row_number().over(by_ctx.orderBy("rid", "pos")).alias("nth"),
-        F.count("*").over(by_ctx).alias("n"),
+        F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(by_ctx).alias("n"),
         (F.min("ctx").over(by_key) != F.max("ctx").over(by_key)).alias("many"),
     )
-    marked = known.select("rid", "pos", "key", (F.col("n") > 1).alias("whole"), (F.col("many") & (F.col("nth") == 1)).alias("sort")).where("whole OR sort")
+    known = known.withColumn("different", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_key))
+    splits = F.when(F.col("different") > crowded, F.ceil(F.log(F.col("different") / crowded) / F.log(F.lit(float(CROWDED_STEP))))).otherwise(0).cast("int")
+    sort = F.when(F.col("many") & (F.col("nth") == 1), splits).otherwise(-1)
+    marked = known.select("rid", "pos", "key", (F.col("n") > 1).alias("whole"), sort.alias("sort")).where("whole OR sort >= 0")
     of_doc = marked.groupBy("rid").agg(F.collect_list(F.struct("pos", "key", "whole", "sort")).alias("m")).select(F.col("rid").alias("of_rid"), F.col("m").alias(marks))
     rows = docs.select(*kept, rid.alias(rid_), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(raw))
     both = rows.join(of_doc, F.col(rid_) == F.col("of_rid"), "left").drop("of_rid")
@@ -292,12 +316,32 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return remove(all_, keep, names, raw, marks, spans, size, gram), names
 
 
+def cores(reach: int, splits: int) -> list[tuple[int, int]]:
+    """Bytes before and after a gram of which every string over it takes at least one pair: it takes ``reach`` bytes beside
+    the gram, so half of them on one side; of the rest again half on one side; and so on. After enough splits a core is a whole string."""
+    found = {(0, 0): reach}
+    for _ in range(splits):
+        step: dict[tuple[int, int], int] = {}
+        for (before, after), need in found.items():
+            half = -(-need // 2)
+            for core in ((before + half, after), (before, after + half)):
+                step[core] = max(step.get(core, 0), need - half)
+        found = step
+    return sorted(found)
+
+
 def surroundings(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """The contexts that have to be sorted, one row each of (rid, raw, marks)."""
+    """The contexts that have to be sorted, of rows (rid, raw, marks).
+
+    A gram with a crowd of different contexts (a line that very many documents have) is split: its contexts are dealt out by
+    longer cores, of which two that share a string share at least one. Nothing is left out, and no group stays crowded unless
+    its members share that much.
+    """
     reach = size - gram
     kinds = "key long, rid long, pos int, single boolean, at int, raw binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, split = xxhash.xxh3_64_intdigest, {0: [(0, 0)]}
         for part, texts in slices(batches, "raw"):
             rid = part.column("rid").to_pylist()
             out: list[list] = [[] for _ in range(6)]
@@ -305,11 +349,16 @@ def surroundings(docs: DataFrame, size: int, gram: int) -> DataFrame:
             flat, edges = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             pos, keys, whole, sort = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for i, t in enumerate(texts):
-                own = np.flatnonzero(sort[edges[i] : edges[i + 1]]) + edges[i]
-                for p, k, w in zip(pos[own].tolist(), keys[own].tolist(), whole[own].tolist(), strict=True):
+                own = np.flatnonzero(sort[edges[i] : edges[i + 1]] >= 0) + edges[i]
+                for p, k, w, n in zip(pos[own].tolist(), keys[own].tolist(), whole[own].tolist(), sort[own].tolist(), strict=True):
                     low = max(0, p - reach)
-                    for column, value in zip(out, (k, rid[i], p, not w, p - low, t[low : p + size]), strict=True):
-                        column.append(value)
+                    raw = t[low : p + size]
+                    for before, after in split.setdefault(n, split.get(n) or cores(reach, n)):
+                        if n and (p - before < low or p + gram + after > low + len(raw)):
+                            continue
+                        at = k if not n else (digest(t[p - before : p + gram + after], before) >> 1)
+                        for column, value in zip(out, (at, rid[i], p, not w, p - low, raw), strict=True):
+                            column.append(value)
             kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_, strict=True)], names=["key", "rid", "pos", "single", "at", "raw"])
 
