@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, mixing, quality, sharding, simhash
+from tidemark.llm import decontam, mixing, near, quality, sharding
 from tidemark.llm.common import fresh, written
 
 SHARDS = 8
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of each SimHash component stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of texts joined by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, that with the smallest doc_id stays."""
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
