@@ -14,7 +14,7 @@ from .common import fresh
 SEED = "mix"
 #: Means above this are split into equal parts, each with a uniform number of its own, so that exp(-mean) stays a number.
 PART = 500.0
-#: A row that should be repeated more often than this is refused: such a source is too small for its weight.
+#: A ``total`` of more than so many times the input's rows is refused as a mistake; a single source may be repeated without bound.
 MOST_REPEATS = 10_000.0
 #: Sources whose rates are sent to all executors; rates of more sources are joined by a shuffle.
 MOST_SOURCES = 100_000
@@ -40,14 +40,13 @@ def inverse_poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def repeats(keys: pd.Series, means: pd.Series, seed: str = SEED) -> pd.Series:
+    """For each row the running number of its copies after each part of its mean, from 0 on; the last one is their count."""
     mean = means.to_numpy(np.float64)
     parts = np.maximum(1, np.ceil(mean / PART)).astype(np.int64)
-    out = np.zeros(len(mean), np.int64)
-    for part in range(int(parts.max(initial=0))):
-        at = np.flatnonzero(parts > part)
-        u = np.array([uniform(keys.iloc[i], part, seed) for i in at])
-        out[at] += inverse_poisson(u, mean[at] / parts[at])
-    return pd.Series(out)
+    ends = np.cumsum(parts)
+    u = np.array([uniform(k, p, seed) for k, n in zip(keys, parts.tolist(), strict=True) for p in range(n)], np.float64)
+    counts = inverse_poisson(u, np.repeat(mean / parts, parts))
+    return pd.Series([np.concatenate([[0], np.cumsum(counts[e - n : e])]) for e, n in zip(ends.tolist(), parts.tolist(), strict=True)], dtype=object)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source: str = "source", key: str = "doc_id", seed: str = SEED, copy: str | None = None, order: str | None = None) -> DataFrame:
@@ -58,6 +57,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     row's number, so rows with equal keys in a source repeat alike and a retry repeats the same; null keys count as ''. Rows
     go to a partition and a place in it by a hash of key and copy. ``copy`` and ``order`` name columns to keep for the number
     of the repetition (from 1) and the hash. An empty table stays empty. No weighted source present: nothing is left.
+    A row's copies are made a part of its mean at a time, so no array holds them all.
     """
     n_copies, n_copy, n_order, n_rate, n_source = fresh(docs, "n_copies", "n_copy", "n_order", "rate", "of_source")
     sizes = docs.groupBy(F.col(source).alias(n_source)).agg(F.count("*").alias("rows"))
@@ -66,16 +66,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     all_rows, all_weight, n_sources = sizes.agg(F.sum("rows"), F.sum("weight"), F.count("*")).first()
     target = float(all_rows or 0) if total is None else float(total)
     rates = sizes.select(n_source, (F.col("weight") * F.lit(target) / F.lit(all_weight or 1.0) / F.col("rows")).alias(n_rate))
-    most = rates.agg(F.max(n_rate)).first()[0] or 0.0
-    if most > MOST_REPEATS:
-        raise ValueError(f"a source would have to be repeated {most:.0f} times")
+    if target > MOST_REPEATS * float(all_rows or 0) > 0:
+        raise ValueError(f"{target:.0f} rows are asked for, but only {all_rows} are there")
     if n_sources <= MOST_SOURCES:
         rates = F.broadcast(rates)
-    draw = F.pandas_udf(lambda k, m: repeats(k, m, seed), "long")
+    draw = F.pandas_udf(lambda k, m: repeats(k, m, seed), "array<long>")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rated = docs.join(rates, docs[source].eqNullSafe(F.col(n_source))).drop(n_source)
-    drawn = rated.withColumn(n_copies, draw(name, F.col(n_rate))).where(F.col(n_copies) > 0)
-    copies = drawn.withColumn(n_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies))))
+    drawn = rated.withColumn(n_copies, draw(name, F.col(n_rate)))
+    spans = F.transform(F.sequence(F.lit(1), F.size(n_copies) - 1), lambda i: F.struct((F.get(n_copies, i - 1) + 1).alias("a"), F.get(n_copies, i).alias("b")))
+    parts = drawn.withColumn(n_copies, F.explode(spans)).where(F.col(n_copies)["a"] <= F.col(n_copies)["b"])
+    copies = parts.withColumn(n_copy, F.explode(F.sequence(F.col(n_copies)["a"], F.col(n_copies)["b"])))
     placed = copies.withColumn(n_order, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col(n_copy)).cast("binary")))
     dealt = placed.repartition(F.col(n_order)).sortWithinPartitions(n_order)
     extra = [F.col(a).alias(b) for a, b in ((n_copy, copy), (n_order, order)) if b]
