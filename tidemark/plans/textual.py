@@ -132,7 +132,7 @@ def html_text(t: Tables) -> DataFrame:
 
 @query()
 def nfkc_title(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.clean_title(F.substring_index("text", "\n", 1)).alias("title"), text.slug(F.substring("text", 1, 200)).alias("slug"))
+    return t.documents.select("doc_id", text.clean_title(F.substring_index("text", "\n", 1)).alias("title"), text.slug(F.col("text")).alias("slug"))
 
 
 @query()
