@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import brute
+from test_near import plain as near_survivors
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -316,8 +317,7 @@ def test_pipeline(spark, sf):
             assert frame.columns == before.columns
     kept = {r.doc_id for r in QUERIES["op10_quality"](spark, sf).collect() if r.kept}
     assert {r.doc_id for r in left["quality_rules"]} == kept
-    roots = brute.linked({d: brute.simhash(docs[d]) for d in kept})
-    single = {d for d in kept if roots[d] == d}
+    single = near_survivors({d: docs[d] for d in kept})
     assert sorted(r.doc_id for r in left["near_duplicates"]) == sorted(single)
     clean = {d for d, (_, hit, _) in brute.contamination([(d, docs[d]) for d in single], items).items() if not hit}
     assert sorted(r.doc_id for r in left["decontamination"]) == sorted(clean)

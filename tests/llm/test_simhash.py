@@ -6,17 +6,54 @@ from tidemark.llm import simhash
 from tidemark.llm.components import components, forest
 
 
-@pytest.mark.parametrize("n,m", [(3, 4), (100, 100), (300, 5000)])
+def some(rng, n, words=1):
+    base = rng.integers(0, 1 << 63, (20, words), dtype=np.uint64)
+    out = base[rng.integers(0, 20, n)]
+    for _ in range(2):
+        out[np.arange(n), rng.integers(0, words, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return np.unique(out, axis=0)
+
+
+def near(prints, radius):
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    return {(int(i), int(j)) for i, j in np.argwhere(distance <= radius) if i < j}
+
+
+def labels(links, n):
+    root = list(range(n))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("n,words", [(3, 1), (100, 1), (700, 1), (90, 4)])
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
-def test_near_pairs(n, m, radius):
-    rng = np.random.default_rng(n)
-    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    make = lambda k: base[rng.integers(0, 20, k)] ^ (np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64))
-    left, right = make(n), make(m)
-    a, b = simhash.near_pairs(left, right, radius)
-    x = left[:, None] ^ right[None, :]
-    want = {(int(left[i]), int(right[j])) for i, j in np.argwhere((np.bitwise_count(x) <= radius) & (x != 0))}
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+def test_bit_sliced_block(n, words, radius):
+    prints = some(np.random.default_rng(n), n, words)
+    for q in range(min(len(prints), 40)):
+        want = np.flatnonzero(np.bitwise_count(prints ^ prints[q]).sum(axis=1) <= radius)
+        assert simhash.within(simhash.planes(prints), len(prints), prints[q], radius).tolist() == want.tolist()
+    u, v = simhash.joined(prints, radius)
+    pairs = near(prints, radius)
+    found = {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist(), strict=True)}
+    assert found <= pairs and labels(found, len(prints)) == labels(pairs, len(prints))
+
+
+def test_blocks_of_small_groups():
+    rng = np.random.default_rng(9)
+    prints = some(rng, 300)
+    edges = np.unique(np.concatenate([[0, len(prints)], rng.integers(0, len(prints), 90)]))
+    u, v = simhash.joined_small(prints, edges, 2)
+    group = np.searchsorted(edges, np.arange(len(prints)), "right")
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == {(a, b) for a, b in near(prints, 2) if group[a] == group[b]}
+
+
+def test_confirmed_links_only():
+    prints = some(np.random.default_rng(2), 200)
+    u, v = simhash.joined(prints, 4, lambda q, found: found[(found + q) % 3 == 0])
+    pairs = {(a, b) for a, b in near(prints, 4) if (a + b) % 3 == 0}
+    assert labels(zip(u.tolist(), v.tolist(), strict=True), len(prints)) == labels(pairs, len(prints))
 
 
 def test_forest():
@@ -49,10 +86,10 @@ def test_links_join_all_near_fingerprints_with_split_groups(spark):
     rng = np.random.default_rng(6)
     base = int(rng.integers(0, 1 << 62))
     prints = {0, base} | {base ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 63, (150, 2))} | {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 50)}
-    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    df = simhash.block_members(spark.createDataFrame([(x,) for x in prints], "node long"), 2)
     want = brute.linked({x: x & (1 << 64) - 1 for x in prints})
     for group in (1 << 15, 16):
-        got = {r.node: r.root for r in components(simhash.links(df, 2, group)).collect()}
+        got = {r.node: r.root for r in components(simhash.links(df, None, 2, group)).collect()}
         assert {x: got.get(x, x) for x in prints} == want
 
 

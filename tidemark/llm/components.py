@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 #: Links that a task joins at a time before it writes the forest they make.
 FOREST_LINKS = 1 << 20
@@ -60,13 +60,12 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v) of longs; the root is the smallest node reachable.
 
     Rounds of two steps on the table: every node's larger neighbours are linked to its smallest neighbour, then its smaller
-    ones are (the large-star and small-star of Kiveris et al., 2014), until nothing moves. Smallest neighbours are found by an
+    ones are (the large-star and small-star of Kiveris et al., 2014), until the table is made of stars. Smallest neighbours are found by an
     aggregation that combines before its shuffle, so a node in a third of all links is no hot key there; the join back to
     the links is one that Spark can split. Every round is written to the shared folder. No link, node or component reaches the driver.
     """
-    links = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(contract, "u long, v long").distinct())
-    before = None
-    while True:
+    links = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(contract, "u long, v long").distinct(), "links")
+    while not stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.col("n")).alias("m"))
         large = both.join(low, both["u"] == low["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -74,8 +73,14 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, large["u"] == low["n"])
         star = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
-        links = written(star.where("u != v").distinct())
-        now = links.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        before, links = links, written(star.where("u != v").distinct(), "links")
+        remove(before)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller node that itself has none to a smaller one: then each smaller node is the
+    smallest of its component, since the rounds keep what is joined."""
+    twice = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    inner = links.join(links.select(F.col("v").alias("low")).distinct(), F.col("u") == F.col("low"), "left_semi")
+    return twice.select("u").unionByName(inner.select("u")).isEmpty()

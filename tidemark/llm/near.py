@@ -1,4 +1,4 @@
-"""Near-duplicates by their sets of word shingles: MinHash bands propose pairs, the exact Jaccard similarity of both texts decides."""
+"""SimHash near-duplicates by similarity: bit-sliced comparison of wide fingerprints proposes, the exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -10,17 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, written
+from .common import fresh, hashable, slices, written
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import COUNT_BLOCK, SEED, joined, links, shingle_hashes
 
 SHINGLE = 5
 #: Texts are near-duplicates from this similarity on, as a fraction.
 LEAST = (4, 5)
-#: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**40 = 1.3e-7.
+#: Longs of a fingerprint, and the bits in which two may differ to be compared exactly. At a similarity of 0.8 they differ in
+#: 39 of 256 with a standard deviation of 6; in sets of five shingles in 48.
+WORDS, RADIUS = 4, 68
+#: Keys under which texts meet: hashes of so many smallest values each. Two sets of similarity 0.8 share none of them with a
+#: chance of (1 - 0.8**5)**40 = 1.3e-7.
 BANDS, ROWS = 40, 5
-#: Shingles that are hashed at a time.
-BLOCK = 1 << 11
+#: Shingles that are hashed at a time, and the most shingles of a group that meet in one task.
+BLOCK, GROUP_SHINGLES = 1 << 11, 1 << 22
 #: So many texts to compare are looked up by a broadcast of their rows' hashes; more by a shuffle.
 MOST_SENT = 200_000
 
@@ -51,91 +55,120 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
-    """Whether the Jaccard similarity of two sets is at least ``least``; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * least[1] >= (len(a) + len(b) - both) * least[0]
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """``words`` longs; a bit is 1 if it is set in more than half of the set's hashes. Each long takes another mix of them."""
+    ones = np.zeros((words, 64), np.int64)
+    for i in range(0, len(hashes), COUNT_BLOCK):
+        part = hashes[i : i + COUNT_BLOCK]
+        for w in range(words):
+            mixed = (part ^ (part >> np.uint64(31))) * (MIX + np.uint64(2 * w))
+            mixed ^= mixed >> np.uint64(32)
+            ones[w] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def with_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """The other columns with ``node``, a 64-bit hash of the set of shingles, and ``bands``."""
+    """The other columns with ``node``, a 64-bit hash of the set of shingles, ``bands``, the longs of the fingerprint and ``n``, the size of the set."""
     rest = [f for f in docs.schema if f.name != text]
+    longs = [f"w{i}" for i in range(WORDS)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
-            nodes, keys = [], []
+            nodes, keys, prints, sizes = [], [], [], []
             for t in texts:
                 s = shingles(t, size)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 keys.append(bands(s).view(np.int64))
+                prints.append(wide_fingerprint(s))
+                sizes.append(len(s))
             kept = [part.column(part.schema.get_field_index(f.name)) for f in rest]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], names=[*[f.name for f in rest], "node", "bands"])
+            wide = [pa.array(c) for c in np.array(prints, np.uint64).reshape(-1, WORDS).T.copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, *wide, pa.array(sizes, pa.int64())], names=[*[f.name for f in rest], "node", "bands", *longs, "n"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.mapInArrow(add, f"{names}, node long, bands array<long>")
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, marks: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose texts are similar; ``rows``: a, b, text; ``marks``: node and the (na, nb) of a row with its text."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = written(marks.join(ids, F.col("node") == F.col("id"), "left_semi"), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
-    asked = rows.join(few, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")))
-    texts = written(asked.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    left, right = (texts.select(F.col("node").alias(f"n{i}"), F.col("text").alias(f"t{i}")) for i in (0, 1))
-    met = pairs.join(left, F.col("u") == F.col("n0")).select("u", "v", "t0").join(right, F.col("v") == F.col("n1")).select("u", "v", "t0", "t1")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.mapInArrow(add, f"{names}, node long, bands array<long>, {', '.join(f'{w} long' for w in longs)}, n long")
+
+
+def similar(sets: list[np.ndarray], query: int, others: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """Those of ``others`` whose Jaccard similarity with the query is at least ``least``; an empty set is like none but an empty one."""
+    own = sets[query]
+    sizes = np.array([len(sets[i]) for i in others.tolist()], np.int64)
+    if not len(own):
+        return others[sizes == 0]
+    others, sizes = others[sizes > 0], sizes[sizes > 0]
+    if not len(others):
+        return others
+    flat = np.concatenate([sets[i] for i in others.tolist()])
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+    return others[both * least[1] >= (len(own) + sizes - both) * least[0]]
+
+
+def exact_links(groups: DataFrame, size: int, least: tuple[int, int], radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) that join the same nodes as all similar pairs of a group within the radius; ``groups``: (g, a, b, node, raw), all rows of a
+    (g, a, b) next to each other. The bit-sliced comparison names those whose sets are then compared with the query's."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
         for batch in batches:
-            for part, texts in slices([batch], "t1"):
-                firsts = part.column(2)
-                good = [similar(shingles(firsts[i].as_py(), size), shingles(t, size), least) for i, t in enumerate(texts)]
-                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return met.mapInArrow(check, "u long, v long")
-
-
-def links(nodes: DataFrame, rows: DataFrame, marks: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (u, v) that join the same nodes as all similar pairs; ``nodes``: node, bands; ``rows`` and ``marks`` as above.
-
-    Under each band's key every node is first compared with the smallest one. Whatever these links join needs no more
-    comparing, so a large family of copies costs a few comparisons for each member. Only where a key's nodes still lie in
-    several components are the pairs between these compared as well.
+            for part, texts in slices([batch], "raw"):
+                columns = [part.column(i).to_pylist() for i in range(4)]
+                for g, a, b, node, t in zip(*columns, texts, strict=True):
+                    if (g, a, b) != key:
+                        yield from out(held)
+                        held, key = [], (g, a, b)
+                    held.append((node, shingles(t, size)))
+        yield from out(held)
+
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            nodes, sets = np.array([x[0] for x in held]), [x[1] for x in held]
+            u, v = joined(np.array([wide_fingerprint(s) for s in sets]), radius, lambda q, found: similar(sets, q, found, least))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
+
+    return groups.mapInArrow(compare, "u long, v long")
+
+
+def near_groups(nodes: DataFrame, rows: DataFrame, size: int = SHINGLE, least: tuple[int, int] = LEAST, group: int = GROUP_SHINGLES) -> DataFrame:
+    """(node, root) of the nodes in groups joined by similar pairs; ``nodes``: node, bands, w0.., n and the (na, nb) of a row with its text;
+    ``rows``: a, b, text.
+
+    Nodes that share a key and whose fingerprints lie within the radius are joined first, on fingerprints alone. No similar
+    pair lies across these rough groups, so each node sends its text to one place only, where the exact similarity decides. A
+    rough group of more than ``group`` shingles is cut in parts, and each pair of parts meets in a task of its own.
     """
-    keyed = nodes.select("node", F.explode("bands").alias("k"))
-    heads = keyed.groupBy("k").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("k", "hk")
-    met = written(keyed.join(heads, keyed["k"] == heads["hk"]).select("k", "u", F.col("node").alias("v"), "n"), "bands")
-    first = written(met.where("u != v").select("u", "v").distinct(), "pairs")
-    found = written(confirmed(first, rows, marks, size, least), "links")
-    roots = components(found)
-    many = met.where("n > 2").select("k", "v")
-    placed = written(many.join(roots, many["v"] == roots["node"], "left").select("k", "v", F.coalesce("root", "v").alias("root")), "placed")
-    open_ = placed.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select(F.col("k").alias("ok"))
-    left = placed.join(open_, placed["k"] == open_["ok"]).select("k", "v", "root")
-    right = left.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("root").alias("root2"))
-    between = left.join(right, F.col("k") == F.col("k2")).where("v < v2 AND root != root2").select(F.col("v").alias("u"), F.col("v2").alias("v")).distinct()
-    rest = written(between.join(first, ["u", "v"], "left_anti"), "pairs")
-    return found.unionByName(confirmed(rest, rows, marks, size, least))
+    members = nodes.select("node", F.lit(0).alias("t"), F.explode("bands").alias("k"))
+    rough = written(components(links(members, nodes.select("node", *[f"w{i}" for i in range(WORDS)]), RADIUS)).select(F.col("node").alias("of"), F.col("root").alias("g")), "rough")
+    wanted = written(nodes.join(rough, F.col("node") == F.col("of")).select("node", "g", "n", "na", "nb"), "wanted")
+    sizes = wanted.groupBy("g").agg(F.sum("n").alias("all")).select(F.col("g").alias("sg"), F.ceil(2 * F.col("all") / F.lit(group)).cast("long").alias("parts"))
+    placed = wanted.join(sizes, F.col("g") == F.col("sg")).withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select("g", F.least("own", "other").alias("pa"), F.greatest("own", "other").alias("pb"), "node", "na", "nb")
+    few = F.broadcast(placed) if wanted.count() <= MOST_SENT and not placed.where("pa != pb").head(1) else placed
+    asked = rows.join(few, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb"))).select("g", "pa", "pb", "node", F.col("text").alias("raw"))
+    met = asked.repartition("g", "pa", "pb").sortWithinPartitions("g", "pa", "pb", "node")
+    return components(exact_links(met, size, least))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """``docs`` with one row of each group of texts that are joined by similar pairs: the one with the smallest key.
 
-    Texts with equal sets of shingles are one node, so exact copies cost nothing beyond it; texts without words are one group.
-    A null key is larger than any other. Of several rows with that key one stays: the one with the smallest hash of its values.
+    Texts with equal sets of shingles are one node, so exact copies cost nothing beyond it; texts without words (null, empty,
+    blank) are one group; a text of any length counts whole. A null key is larger than any other. Of several rows with that key
+    one stays: the one with the smallest hash of its values. Columns of any type and name are kept as they are; an empty table stays empty.
     """
     tag, other, nth = fresh(docs, "row_tag", "row_tag2", "row_nth")
     values = [F.col(f"`{c}`") for c in docs.columns]
-    tagged = docs.withColumns({tag: F.xxhash64(*values), other: F.xxhash64(F.lit(1), *values)})
+    tagged = docs.withColumns({tag: F.xxhash64(*hashable(docs)), other: F.xxhash64(F.lit(1), *hashable(docs))})
     raw = F.col(f"`{text}`").cast("binary").alias("text")
     rows = tagged.select(F.col(f"`{key}`").alias("id"), F.col(tag).alias("a"), F.col(other).alias("b"), raw)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")
-    sets = with_sets(rows, "text", size)
-    nodes = written(sets.groupBy("node").agg(F.min(best).alias("best"), F.first("bands").alias("bands")), "nodes")
-    marks = nodes.select("node", F.col("best.a").alias("na"), F.col("best.b").alias("nb"))
-    roots = components(links(nodes.select("node", "bands"), rows.select("a", "b", "text"), marks, size, least))
+    firsts = [F.first(c).alias(c) for c in ("bands", *[f"w{i}" for i in range(WORDS)], "n")]
+    nodes = written(with_sets(rows, "text", size).groupBy("node").agg(F.min(best).alias("best"), *firsts), "nodes")
+    roots = near_groups(nodes.withColumns({"na": F.col("best.a"), "nb": F.col("best.b")}), rows.select("a", "b", "text"), size, least)
     ranked = nodes.select("node", "best").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     stays = ranked.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("best").alias("best")).select(F.col("best.a").alias("stay_a"), F.col("best.b").alias("stay_b"))
     once = Window.partitionBy(tag, other).orderBy(F.lit(1))

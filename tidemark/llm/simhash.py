@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, written
+from .common import fresh, hashable, slices, written
 from .components import components, forest
 
 #: Bits of a fingerprint, and the seed of the shingle hash.
@@ -22,9 +22,11 @@ SHINGLE = 3
 RADIUS = 2
 #: Shingle hashes whose bits are counted at a time.
 COUNT_BLOCK = 1 << 16
-#: Fingerprints in one bit-sliced block, and the most that one task compares with each other.
-SLICE = 1 << 12
+#: Groups of at most so many share blocks of LANES pairs; larger ones are swept by one fingerprint after the other.
+SMALL, LANES = 32, 1 << 14
+#: The most nodes of one key that meet in one task.
 GROUP = 1 << 15
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -65,34 +67,34 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
-    """Bit planes: row k holds bit k of all fingerprints, 64 of them in a word."""
-    n = -(-len(prints) // 64) * 64
-    bits = np.zeros((n, BITS), np.uint8)
-    bits[: len(prints)] = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
+    """Bit planes of fingerprints (n, words): row k holds bit k of all of them, 64 fingerprints in a word."""
+    n, bits = len(prints), 64 * prints.shape[1]
+    lanes = np.zeros((-(-n // 64) * 64, bits), np.uint8)
+    lanes[:n] = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(n, bits // 8), axis=1)
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(lanes.T), axis=1, bitorder="little")).view("<u8")
 
 
-def within(block: np.ndarray, n: int, query: int, radius: int) -> np.ndarray:
-    """Places of the block's fingerprints at most ``radius`` bits from the query, all lanes at once.
+def near_lanes(differences: Iterator[np.ndarray], lanes: int, radius: int) -> np.ndarray:
+    """The lanes with at most ``radius`` set bits over all planes of ``differences``.
 
-    Each plane is turned into difference bits; a ripple of carry-save half adders adds them to a counter held as planes of
-    its own, and lanes that pass the radius stay in an overflow plane. The block is given up once every lane has passed.
+    Two planes at a time enter the lowest plane of the counter through a carry-save adder, and the carries ripple through the
+    planes above it; lanes that pass the counter stay in an overflow plane. The block is given up once every lane has passed the radius.
     """
-    width = max(1, int(radius + 1).bit_length())
-    counter = np.zeros((width, block.shape[1]), np.uint64)
-    over = np.zeros(block.shape[1], np.uint64)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for k in range(BITS):
-        carry = block[k] ^ (ones if query >> (BITS - 1 - k) & 1 else np.uint64(0))
-        for level in counter:
+    counter = over = None
+    for k, (a, b) in enumerate(zip(differences, differences, strict=True)):
+        if counter is None:
+            counter, over = np.zeros((max(1, (radius + 1).bit_length()), len(a)), np.uint64), np.zeros(len(a), np.uint64)
+        differ = a ^ b
+        carry = a & b | counter[0] & differ
+        counter[0] ^= differ
+        for level in counter[1:]:
             level ^= carry
-            carry = carry & ~level
+            carry &= ~level
         over |= carry
-        if k >= radius and k % 4 == 3:
-            if (over | above(counter, radius) == ones).all():
-                return np.zeros(0, np.int64)
+        if 2 * k >= radius and k % 8 == 7 and (over | above(counter, radius) == FULL).all():
+            return np.zeros(0, np.int64)
     over |= above(counter, radius)
-    return np.flatnonzero(np.unpackbits((~over).astype("<u8").view(np.uint8), bitorder="little")[:n])
+    return np.flatnonzero(np.unpackbits((~over).astype("<u8").view(np.uint8), bitorder="little")[:lanes])
 
 
 def above(counter: np.ndarray, radius: int) -> np.ndarray:
@@ -108,22 +110,54 @@ def above(counter: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from left, to right) between different fingerprints at most ``radius`` bits apart."""
-    a, b = [], []
-    if len(left) * len(right) <= 4096:
-        x = left[:, None] ^ right[None, :]
-        near = np.argwhere((np.bitwise_count(x) <= radius) & (x != 0))
-        return left[near[:, 0]], right[near[:, 1]]
-    for start in range(0, len(right), SLICE):
-        part = right[start : start + SLICE]
-        sliced = planes(part)
-        for q in left.tolist():
-            found = part[within(sliced, len(part), q, radius)]
-            found = found[found != q]
-            a.append(np.full(len(found), q, np.uint64))
-            b.append(found)
-    return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
+def within(block: np.ndarray, lanes: int, query: np.ndarray, radius: int) -> np.ndarray:
+    """Places of a block's fingerprints at most ``radius`` bits from the query, all lanes at once."""
+    flips = np.where(np.unpackbits(query.astype(">u8").view(np.uint8)), FULL, np.uint64(0))
+    return near_lanes((plane ^ flip for plane, flip in zip(block, flips, strict=True)), lanes, radius)
+
+
+def joined(prints: np.ndarray, radius: int, confirm: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join the same fingerprints as all pairs within the radius, of which ``confirm`` (query, places found)
+    may leave some out: each one reached asks those not yet reached.
+
+    What a query reaches leaves the block, so a family around one fingerprint costs few sweeps, and no link is formed twice.
+    """
+    u, v = [], []
+    rest = np.arange(len(prints))
+    while len(rest) > 1:
+        asking, rest = [int(rest[0])], rest[1:]
+        block, alive, held = planes(prints[rest]), np.ones(len(rest), bool), rest
+        while asking and alive.any():
+            found = within(block, len(held), prints[asking[-1]], radius)
+            found = found[alive[found]]
+            at = asking.pop()
+            if confirm:
+                found = np.searchsorted(held, confirm(at, held[found]))
+            u.append(np.full(len(found), at))
+            v.append(held[found])
+            asking += held[found].tolist()
+            alive[found] = False
+            if 2 * alive.sum() < len(alive) and asking:
+                held, alive = held[alive], np.ones(alive.sum(), bool)
+                block = planes(prints[held])
+        rest = held[alive]
+    return (np.concatenate(u), np.concatenate(v)) if u else (rest[:0], rest[:0])
+
+
+def joined_small(prints: np.ndarray, edges: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) of many small groups, that lie between ``edges``: all their pairs share the lanes of common blocks."""
+    u, v = [], []
+    for size in np.unique(np.diff(edges)).tolist():
+        starts = edges[:-1][np.diff(edges) == size]
+        a, b = np.triu_indices(size, 1)
+        for i in range(0, len(starts), max(1, LANES // max(1, len(a)))):
+            own = starts[i : i + max(1, LANES // max(1, len(a))), None]
+            x, y = (own + a).ravel(), (own + b).ravel()
+            if len(x):
+                near = near_lanes(iter(planes(prints[x] ^ prints[y])), len(x), radius)
+                u.append(x[near])
+                v.append(y[near])
+    return (np.concatenate(u), np.concatenate(v)) if u else (edges[:0], edges[:0])
 
 
 def block_keys(radius: int) -> list[tuple[int, int]]:
@@ -133,38 +167,45 @@ def block_keys(radius: int) -> list[tuple[int, int]]:
     return [(x | y, i) for i, (x, y) in enumerate(combinations(masks, 2))]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """Links (u, v) that join the same fingerprints as all pairs within the radius; ``prints``: distinct longs in ``fp``.
+def block_members(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, t, k): each fingerprint under its key in every table. Two fingerprints that differ in at most ``radius`` bits agree on
+    two of radius + 2 bit blocks, so each pair meets under one of the keys, whose groups stay small while fingerprints number billions."""
+    signed = [(m - (1 << 64) if m >> 63 else m, i) for m, i in block_keys(radius)]
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("node").bitwiseAND(F.lit(m).cast("long")).alias("k")) for m, i in signed])
+    return nodes.select("node", F.explode(keys).alias("x")).select("node", "x.t", "x.k")
+
 
-    Two fingerprints that differ in at most ``radius`` bits agree on two of radius + 2 bit blocks, so each pair meets under
-    one of the tables' keys, whose groups stay small while fingerprints number billions. A task writes only a spanning
-    forest of its groups' links, never all pairs. A key with more than ``group`` fingerprints is cut by a hash into parts,
-    and each pair of parts meets in a task of its own.
+def links(members: DataFrame, prints: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
+    """Links (u, v) that join the same nodes as all pairs within the radius that meet under a key; ``members``: (node, t, k),
+    ``prints``: (node, and the longs of its fingerprint), or None if the node is its fingerprint.
+
+    A task writes only a spanning forest of its groups' links, never all pairs. A key with more than ``group`` nodes is cut by
+    a hash into parts, and each pair of parts meets in a task of its own.
     """
-    masks = block_keys(radius)
-    signed = [(m - (1 << 64) if m >> 63 else m, i) for m, i in masks]
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for m, i in signed])).alias("x")).select("fp", "x.t", "x.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("tt"), F.col("k").alias("kk"), "n")
-    met = keyed.join(sizes, (keyed["t"] == sizes["tt"]) & (keyed["k"] == sizes["kk"])).select("fp", "t", "k", "n")
+    sizes = members.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("tt"), F.col("k").alias("kk"), "n")
+    met = members.join(sizes, (members["t"] == sizes["tt"]) & (members["k"] == sizes["kk"])).select("node", "t", "k", "n")
+    if prints is not None:
+        words = [c for c in prints.columns if c != "node"]
+        met = met.join(prints.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    else:
+        words = ["word"]
+        met = met.withColumn("word", F.col("node"))
     parts = F.ceil(2 * F.col("n") / F.lit(group)).cast("long")
-    own = F.pmod(F.xxhash64("fp"), parts)
-    met = met.withColumn("parts", F.when(F.col("n") > group, parts).otherwise(F.lit(1).cast("long"))).withColumn("part", F.when(F.col("parts") > 1, own).otherwise(F.lit(0).cast("long")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    met = met.withColumn("other", other).select("fp", "t", "k", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = met.repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b")
+    met = met.withColumn("parts", F.when(F.col("n") > group, parts).otherwise(F.lit(1).cast("long")))
+    met = met.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    key = ("t", "k", "a", "b")
+    dealt = met.select("node", *words, "t", "k", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, n = [], [], 0
-        for fps, a, b, side in groups(batches):
-            if a == b:
-                x, y = near_pairs(fps, fps, radius)
-            else:
-                x, y = near_pairs(fps[side == 0], fps[side == 1], radius)
-            if len(x):
-                x, y = forest(x.view(np.int64), y.view(np.int64))
-                u.append(x)
-                v.append(y)
-                n += len(x)
+        for nodes, own, edges in groups(batches, len(words)):
+            found = joined(own, radius) if edges is None else joined_small(own, edges, radius)
+            if len(found[0]):
+                a, b = forest(nodes[found[0]], nodes[found[1]])
+                u.append(a)
+                v.append(b)
+                n += len(a)
             if n > 1 << 18:
                 yield out(u, v)
                 u, v, n = [], [], 0
@@ -177,21 +218,32 @@ def links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFr
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
-    """The fingerprints of each run of equal (t, k, a, b), also across batches."""
+def groups(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(nodes, fingerprints, edges) of rows sorted by their last four columns: a large group alone with edges None, and
+    the small groups of a batch together with the edges between them. A group goes on over batches."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(words + 5)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        key = np.stack([c.astype(np.int64) for c in cols[1:5]])
-        starts = np.concatenate([[0], 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))]) if key.shape[1] else np.zeros(0, int)
-        for s, e in zip(starts[:-1], starts[1:], strict=False):
-            if e - s > 1:
-                yield cols[0][s:e].view(np.uint64), int(cols[3][s]), int(cols[4][s]), cols[5][s:e]
-        held = [c[starts[-1] :] for c in cols] if len(starts) else held
-    if held is not None and len(held[0]) > 1:
-        yield held[0].view(np.uint64), int(held[3][0]), int(held[4][0]), held[5]
+        key = np.stack(cols[-4:])
+        starts = np.concatenate([[0], 1 + np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))]) if key.shape[1] else np.zeros(1, int)
+        yield from whole([c[: starts[-1]] for c in cols], starts, words)
+        held = [c[starts[-1] :] for c in cols]
+    if held is not None:
+        yield from whole(held, np.array([0, len(held[0])]), words)
+
+
+def whole(cols: list[np.ndarray], edges: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    prints = np.stack(cols[1 : words + 1], axis=1).view(np.uint64) if len(cols[0]) else np.zeros((0, words), np.uint64)
+    size = np.diff(edges)
+    for i in np.flatnonzero(size > SMALL).tolist():
+        own = slice(edges[i], edges[i + 1])
+        yield cols[0][own], prints[own], None
+    few = np.flatnonzero((size > 1) & (size <= SMALL))
+    if len(few):
+        at = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in few.tolist()])
+        yield cols[0][at], prints[at], np.concatenate([[0], np.cumsum(size[few])])
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -207,7 +259,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(key).alias(id_), F.col(text).alias(t))
     prints = written(with_fingerprints(rows, t, names["fingerprint"], size).drop(t))
     nodes = prints.groupBy(F.col(names["fingerprint"]).alias("fp")).agg(F.min(id_).alias("low"))
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(block_members(nodes.select(F.col("fp").alias("node")), radius), None, radius))
     known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     known = written(known)
     lows = known.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least"))
@@ -221,11 +273,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     Of several rows with that key one stays: the one with the smallest hash of its values.
     """
     tag, other, nth = fresh(docs, "row_tag", "row_tag2", "row_nth")
-    values = [F.col(c) for c in docs.columns]
-    tagged = docs.withColumns({tag: F.xxhash64(*values), other: F.xxhash64(F.lit(1), *values)})
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.withColumns({tag: F.xxhash64(*hashable(docs)), other: F.xxhash64(F.lit(1), *hashable(docs))})
     found = cluster(tagged.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(tag).alias("a"), F.col(other).alias("b")), "id", "text", radius, size)[0]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("first")
     stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("own")).agg(first).select(F.col("first.a").alias("stay_a"), F.col("first.b").alias("stay_b"))
     once = Window.partitionBy(tag, other).orderBy(F.lit(1))
     kept = tagged.join(stays, (F.col(tag) == F.col("stay_a")) & (F.col(other) == F.col("stay_b")), "left_semi")
-    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*values)
