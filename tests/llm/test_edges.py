@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns; other operators against plain versions."""
 
 import math
+import re
+import zlib
 from collections import Counter
 
 import brute
@@ -275,33 +277,117 @@ def test_token_counts(spark, docs, pieces):
         assert (r.own_words, r.own_tokens) == (len(words), sum(greedy("▁" + w, held, longest) for w in words))
 
 
+def plain_scores(texts, model, endings):
+    """Scores by the definition: class between the neighbours' classes, word in its class, and what else stands between the same two rarer words."""
+    words = [re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
+    seen = Counter(w for ws in words for w in ws)
+    size = len(model.frequent) + endings
+    kind = {w: model.frequent.index(w) if w in model.frequent else len(model.frequent) + zlib.crc32(w[-2:]) % endings for w in seen}
+    of_class, rare = Counter(), Counter()
+    for w, n in seen.items():
+        of_class[kind[w]] += n
+        rare[kind[w]] += 0 if w in model.counts or w in model.frequent else n
+    tri, two, one = Counter(), Counter(), Counter()
+    for w, n in seen.items():
+        if w not in model.counts and w not in model.frequent:
+            x = b"  " + w + b" "
+            for i in range(2, len(x)):
+                tri[x[i - 2 : i + 1]] += n
+                two[x[i - 1 : i + 1]] += n
+                one[x[i - 1 : i]] += n
+    history = Counter()
+    for x, n in tri.items():
+        history[x[:2]] += n
+
+    def spelled(w):
+        x, out = b"  " + w + b" ", 0.0
+        for i in range(2, len(x)):
+            short = (two[x[i - 1 : i + 1]] + 4 / 256) / (one[x[i - 1 : i]] + 4)
+            out += math.log((tri[x[i - 2 : i + 1]] + 4 * short) / (history[x[i - 2 : i]] + 4))
+        return out
+
+    def within(w):
+        k = kind[w]
+        if w in model.frequent:
+            return 0.0
+        if w in model.counts:
+            return math.log(seen[w] / (of_class[k] + 0.5))
+        part = (rare[k] + 0.5) / (sum(rare.values()) + 0.5 * endings)
+        return min(0.0, spelled(w) - math.log(part)) + math.log((rare[k] + 0.5) / (of_class[k] + 0.5))
+
+    between, out = Counter(), []
+    around = [list(zip([None, *ws[:-1]], ws, [*ws[1:], None])) for ws in words]
+    held = lambda a, b: a is not None and b is not None and a not in model.common and b not in model.common
+    for ws in around:
+        between.update((a, b, w) for a, w, b in ws if held(a, b))
+    all_ = Counter()
+    for (a, b, _), n in between.items():
+        all_[a, b] += n
+    for ws in around:
+        total = 0.0
+        for a, w, b in ws:
+            left, right = (size if x is None else kind[x] for x in (a, b))
+            log = float(model.net.log_chances(np.array([left]), np.array([right]))[0, kind[w]]) + within(w)
+            if held(a, b) and all_[a, b] > 1:
+                others = all_[a, b] - 1
+                weight = others / (others + 1)
+                log = math.log(weight * (between[a, b, w] - 1) / others + (1 - weight) * math.exp(log))
+            total += log
+        out.append((len(ws), total))
+    return out
+
+
 def test_lm_scores(spark, docs):
-    frequent, net = scoring.fit(docs, frequent=8, endings=4, epochs=60)
-    seen = Counter(w for _, t, _ in TEXTS for w in decontam.words_of((t or "").encode()))
-    assert frequent == [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:8]]
-    rows, n = scoring.score(docs, frequent, net)
-    for r in rows.collect():
-        ids = scoring.Alphabet(frequent, 4).ids(decontam.words_of((r.text or "").encode())).tolist()
-        around = [net.size, *ids, net.size]
-        want = sum(float(net.log_chances(np.array([around[i]]), np.array([around[i + 2]]))[0, t]) for i, t in enumerate(ids[:400]))
-        assert r[n["n_tokens"]] == len(ids)
-        if len(ids) <= 400:
-            assert abs(r[n["log_prob"]] - want) < 1e-3 * max(1, abs(want))
-        assert (r[n["mean_log_prob"]] is None) == (not ids)
-    assert scoring.score(docs.limit(0), *scoring.fit(docs.limit(0), epochs=2))[0].count() == 0
+    """Against an independent plain version, with rows that repeat, nulls, clashing names, many chunks and parts."""
+    extra = [(900 + i, f"the red {w} jumps over a {w} fence while zebras sing {w} tunes", None) for i, w in enumerate(("fox", "fox", "cat", "qzx"))]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(a, b) for a, b, _ in extra], "doc_id long, text string"))
+    rows = rows.withColumn("text", F.when(F.length("text") < 3000, F.col("text"))).withColumn("log_prob", F.lit("own")).repartition(3)
+    model = scoring.fit(rows, frequent=8, endings=4, epochs=40, vocabulary=20, common=3)
+    seen = Counter(w for r in rows.collect() for w in decontam.words_of((r.text or "").encode()))
+    assert [*model.frequent, *model.counts] == [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    found, n = scoring.score(rows, model, parts=7)
+    assert n["log_prob"] == "_log_prob"
+    got = found.collect()
+    assert len(got) == rows.count()
+    for r, (k, total) in zip(got, plain_scores([r.text for r in got], model, 4), strict=True):
+        assert r[n["n_tokens"]] == k and r.log_prob == "own"
+        assert abs(r[n["log_prob"]] - total) < 4e-3 * max(1, k)
+        assert (r[n["mean_log_prob"]] is None) == (not k)
+    none = rows.limit(0)
+    assert scoring.score(none, scoring.fit(none, epochs=2))[0].count() == 0
+
+
+def test_lm_query_tells_words_and_repeats_apart(spark, sf):
+    """Every word counts: gibberish with the right endings scores far below the text, and a document that the corpus has twice above one that it has once."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = scoring.fit(docs, epochs=40)
+    rng = np.random.default_rng(1)
+    letters = list("bcdfghjklmnpqrstvwxz")
+    clean = [(r.doc_id, r.text) for r in docs.where("text is not null and length(text) > 800").orderBy("doc_id").limit(12).collect()]
+    scramble = lambda m: "".join(rng.choice(letters, len(m[0]) - 2)) + m[0][-2:]
+    made = [(10_000 + d, re.sub(r"[a-z]{5,}", scramble, t)) for d, t in clean] + [(20_000 + d, f"{t.split()[0]} {w}") for d, t in clean[:1] for w in ("thing", "fixing")]
+    rows = docs.unionByName(spark.createDataFrame([*made, (30_000, clean[0][1])], docs.schema))
+    found, n = scoring.score(rows, model)
+    got = {r.doc_id: r[n["mean_log_prob"]] for r in found.collect()}
+    assert all(got[10_000 + d] < got[d] - 1 for d, _ in clean)
+    once = {r.doc_id: r[n["mean_log_prob"]] for r in scoring.score(rows.where("doc_id != 30000"), model)[0].collect()}
+    assert got[30_000] == got[clean[0][0]] > once[clean[0][0]] + 0.5
+    pair = [r[n["mean_log_prob"]] for r in found.where("doc_id between 20000 and 29999").collect()]
+    assert len(set(pair)) == 2
 
 
 def test_lm_learns_and_prefers_what_it_has_seen():
     rng = np.random.default_rng(4)
     words = [b"a", b"b", b"c", b"d"]
-    alphabet = scoring.Alphabet(words, 1)
+    lexicon = scoring.Lexicon(None, words, 1)
+    of = lambda text: lexicon.cells(lexicon.ids(text), np.array([len(text)]))
     text = [words[i % 4] for i in range(4000)]
-    cells, n = np.unique(alphabet.cells(text), return_counts=True)
-    net = scoring.Network(alphabet.size, 8)
+    cells, n = np.unique(of(text), return_counts=True)
+    net = scoring.Network(lexicon.size, 8)
     losses = net.train(cells, n.astype(float), 150)
     assert losses[-1] < 0.1 < losses[0]
     logs = net.table().ravel()
-    assert logs[alphabet.cells(text[:40])].sum() > logs[alphabet.cells([words[i] for i in rng.integers(0, 4, 40)])].sum() + 20
+    assert logs[of(text[:40])].sum() > logs[of([words[i] for i in rng.integers(0, 4, 40)])].sum() + 20
 
 
 def test_pipeline(spark, sf):

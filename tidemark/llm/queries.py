@@ -51,8 +51,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    frequent, net = scoring.fit(docs)
-    return scoring.score(docs, frequent, net, keep=["doc_id"])[0]
+    return scoring.score(docs, scoring.fit(docs), keep=["doc_id"])[0]
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
