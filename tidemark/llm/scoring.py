@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, remove, slices, written
 from .decontam import words_of
 
 #: Classes: each of the most frequent words is one, all others fall into classes by their endings.
@@ -51,7 +52,7 @@ class Lexicon:
         self.start(frequent)
 
     def start(self, frequent: list[bytes]) -> None:
-        self.frequent = frequent
+        self.frequent, self.words = frequent, []
         self.at: dict[bytes, int] = {}
         self.kind, self.hash, self.common, self.within = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.float32)
         self.add(frequent)
@@ -63,7 +64,8 @@ class Lexicon:
         if not words:
             return
         known = len(self.at)
-        self.at |= {w: i for i, w in enumerate(words, known)}
+        self.words += words
+        self.at |= zip(words, range(known, known + len(words)), strict=True)
         kind = np.arange(self.first) if not known else np.fromiter(map(self.class_of, words), np.int64, len(words))
         self.kind = np.concatenate([self.kind, kind])
         if self.model:
@@ -73,11 +75,13 @@ class Lexicon:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """A number for each token, under which the arrays have the word."""
-        if len(self.at) > COUNTED:
-            self.start(self.frequent)
-        at = self.at
-        self.add(sorted({w for w in words if w not in at}))
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            self.add(sorted(set(missing)))
+            out[new] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
+        return out
 
     def sides(self, values: np.ndarray, ends: np.ndarray, edge) -> tuple[np.ndarray, np.ndarray]:
         """Each token's left and right neighbour in texts that end at ``ends``, ``edge`` outside of them."""
@@ -97,7 +101,7 @@ def flat(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray
     """All words of the texts, the ends of those that have any, and the numbers of words of all."""
     found = [words_of(t) for t in texts]
     n = np.array([len(w) for w in found], np.int64)
-    return [x for w in found for x in w], np.cumsum(n[n > 0]), n
+    return list(chain.from_iterable(found)), np.cumsum(n[n > 0]), n
 
 
 def word_counts(docs: DataFrame, raw: str) -> DataFrame:
@@ -117,6 +121,22 @@ def word_counts(docs: DataFrame, raw: str) -> DataFrame:
     return docs.select(raw).mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words that occur at least so often that there are no more than ``most``, and twice, by count and bytes. The bound is found from
+    a histogram of counts in steps of a 64th of a doubling, so that what reaches the driver does not grow with the partitions."""
+    level = F.floor(F.log2("n") * 64).cast("int")
+    counts = written(counts.where("n > 1").withColumn("level", level), "words")
+    bound, total = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        bound = r["level"]
+    found = counts.where(F.col("level") >= bound).select("word", "n").collect() if bound is not None else []
+    remove(counts)
+    return sorted(((bytes(r.word), r.n) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Three successive bytes as one number for every byte of every word and its end, spaces before it; and the words' ends."""
     text = np.frombuffer(b"".join(b"  " + w + b" " for w in words), np.uint8).astype(np.int64)
@@ -133,25 +153,30 @@ def cell_counts(docs: DataFrame, raw: str, frequent: list[bytes], endings: int,
     size = len(frequent) + endings
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen, rare = Lexicon(None, frequent, endings), np.zeros((size + 1) ** 2 * size, np.int64), Counter()
+        lexicon, seen, own = Lexicon(None, frequent, endings), np.zeros((size + 1) ** 2 * size, np.int64), np.zeros(0, np.int64)
         for _, texts in slices(batches, raw):
             words, ends, _ = flat(texts)
             if words:
-                np.add.at(seen, *np.unique(lexicon.cells(lexicon.ids(words), ends), return_counts=True))
-                rare.update(w for w in words if w not in vocabulary)
-            if len(rare) > COUNTED:
-                yield from spelled(rare)
-                rare = Counter()
-        yield from spelled(rare)
+                ids = lexicon.ids(words)
+                cells = lexicon.cells(ids, ends)
+                seen += np.bincount(cells, minlength=len(seen))
+                n = np.bincount(ids, minlength=len(lexicon.words))
+                n[: len(own)] += own
+                own = n
+            if len(own) > COUNTED:
+                yield from spelled(lexicon.words, own)
+                lexicon.start(frequent)
+                own = own[:0]
+        yield from spelled(lexicon.words, own)
         at = np.flatnonzero(seen)
         yield from out(False, at, seen[at])
 
-    def spelled(rare: Counter) -> Iterator[pa.RecordBatch]:
+    def spelled(words: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rare = [i for i, w in enumerate(words[: len(n)]) if n[i] and w not in vocabulary]
         if rare:
-            cells, ends = trigrams(list(rare))
-            n = np.repeat(np.fromiter(rare.values(), np.int64, len(rare)), np.diff(ends, prepend=0))
+            cells, ends = trigrams([words[i] for i in rare])
             met, which = np.unique(cells, return_inverse=True)
-            yield from out(True, met, np.bincount(which, n).astype(np.int64))
+            yield from out(True, met, np.bincount(which, np.repeat(n[rare], np.diff(ends, prepend=0))).astype(np.int64))
 
     def out(spelling: bool, cells: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(cells), 1 << 17):
@@ -279,13 +304,13 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, endings: int = ENDINGS, epochs: int = EPOCHS, vocabulary: int = VOCABULARY, common: int = COMMON) -> Model:
     """The model of a whole corpus: two counts over all tokens of all rows.
 
-    Words, of which the ``vocabulary`` most frequent (ties by bytes) reach the driver; then (left, right, token) triples of
-    classes, at most (size + 1)**2 * size rows whatever the input, and three successive bytes of all other words, at most 2**24.
+    Words, of which those at least as frequent as a bound reach the driver, ``vocabulary`` at most; then (left, right, token)
+    triples of classes, at most (size + 1)**2 * size rows whatever the input, and three successive bytes of all other words, at most 2**24.
     Null texts have no words. An empty corpus gives a model that knows nothing.
     """
     raw, = fresh(docs, "raw")
     rows = docs.select(F.col(f"`{text}`").cast("binary").alias(raw)).where(F.col(raw).isNotNull())
-    top = [(bytes(r.word), r.n) for r in word_counts(rows, raw).orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    top = most_frequent(word_counts(rows, raw), vocabulary)
     seen = cell_counts(rows, raw, [w for w, _ in top[:frequent]], endings, {w for w, _ in top}).orderBy("spelling", "cell").toArrow()
     spells = seen["spelling"].to_numpy()
     cells, counts = seen["cell"].to_numpy(), seen["n"].to_numpy()
@@ -305,6 +330,8 @@ def dealt(rows: DataFrame, model: Model, parts: int) -> DataFrame:
         held, n_tokens, n_rows = [], 0, 0
         for part, texts in slices(batches, "raw"):
             rids = part.column("rid").to_numpy(zero_copy_only=False)
+            if len(lexicon.words) > COUNTED:
+                lexicon.start(model.frequent)
             for i in range(0, len(texts), DEALT_ROWS):
                 if n_rows and (n_tokens > DEALT or n_rows + min(DEALT_ROWS, len(texts) - i) > DEALT_ROWS):
                     yield from pack(held)
@@ -361,7 +388,7 @@ def gains(packed: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Between the same two neighbours, ``n - 1`` of ``all - 1`` other tokens are this word: that part, weighed by how many there are,
     is mixed with the chance without the context. A token's own occurrence never counts for it.
     """
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     p = packed[order]
     if not len(p):
         return order, np.zeros(0)
