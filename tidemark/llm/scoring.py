@@ -367,7 +367,7 @@ def dealt(rows: DataFrame, model: Model, parts: int) -> DataFrame:
         packed = (context[order] << np.uint64(24)) | (word[order] & np.uint64(0xFFFFFF))
         log, row = log[order], row[order].astype(np.uint16)
         met, starts = np.unique(where[order], return_index=True)
-        ends = [*starts[1:].tolist(), len(order)]
+        ends = [*starts[1:].tolist(), len(order)][: len(starts)]
         out = [(int(p), chunk, packed[s:e].tobytes(), log[s:e].tobytes(), row[s:e].tobytes(), False) for p, s, e in zip(met.tolist(), starts.tolist(), ends, strict=True)]
         out.append((chunk % parts, chunk, rids.tobytes(), total.tobytes(), n.tobytes(), True))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
