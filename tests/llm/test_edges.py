@@ -373,7 +373,9 @@ def test_lm_query_tells_words_and_repeats_apart(spark, sf):
     got = {r.doc_id: r[n["mean_log_prob"]] for r in found.collect()}
     assert all(got[10_000 + d] < got[d] - 1 for d, _ in clean)
     once = {r.doc_id: r[n["mean_log_prob"]] for r in scoring.score(rows.where("doc_id < 30000"), model)[0].collect()}
-    assert all(got[30_000 + d] == got[d] > once[d] + 0.2 for d, _ in clean)
+    gain = [got[d] - once[d] for d, _ in clean]
+    assert min(gain) > 0 and np.mean(gain) > 0.3
+    assert all(abs(got[30_000 + d] - got[d]) < 1e-9 for d, _ in clean)
     pair = [r[n["mean_log_prob"]] for r in found.where("doc_id between 20000 and 29999").collect()]
     assert len(set(pair)) == 2
 
