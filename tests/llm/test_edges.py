@@ -77,6 +77,51 @@ def test_shards(spark, docs):
         assert own == list(range(len(own)))
     assert all(r.own_shard == brute.jump(r.doc_id or 0, 5) and r.own_grown == brute.jump(r.doc_id or 0, 6) for r in rows)
     assert sharding.number(sharding.assign(docs.limit(0).drop("shard", "slot"))).count() == 0
+    clash = sharding.number(sharding.assign(docs.limit(3)), "_shard")
+    assert clash.columns == [*docs.columns, "_shard", "_slot"] and {r.shard for r in clash.collect()} == {"shard"}
+
+
+def test_shards_of_string_keys(spark):
+    df = spark.createDataFrame([(f"key {i % 50}",) for i in range(300)] + [(None,)] * 2, "doc_id string")
+    rows = sharding.assign(df, 8, grown_col="grown").collect()
+    assert len({(r.doc_id, r.shard) for r in rows}) == 51 and len({r.shard for r in rows}) == 8
+    assert all(r.grown in (r.shard, 8) for r in rows)
+    assert {r.shard for r in rows if r.doc_id is None} == {brute.jump(0, 8)}
+
+
+def test_decontam_with_string_ids(spark):
+    df = spark.createDataFrame([(1, "it has a few words"), (2, "others")], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", "few words"), ("a", "a few"), ("c", "none")], "item_id string, text string")
+    found, n = decontam.search(df, bench)
+    assert {r.doc_id: r[n["items"]] for r in found.collect()} == {1: ["a", "b"], 2: []}
+
+
+STRANGE = [*TEXTS, (12, " ".join(f"word{i}" for i in range(60)) + ".", "en"), (13, "".join(f"w{i}x{i * i} " for i in range(30000)), "en"), (13, "".join(f"w{i}x{i * i} " for i in range(30000)), "en")]
+
+
+def test_stages_on_strange_tables(spark, tmp_path):
+    """Every stage of the pipeline on nulls in every column, repeated rows, very long texts, clashing names, a map column, and an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "word3 word4 word5 word6"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = spark.createDataFrame(STRANGE, "doc_id long, text string, lang string").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "s"))
+    rows = rows.withColumns({c: F.lit(c) for c in (*CLASH, "row_tag", "node", "a b")}).withColumn("notes", F.create_map(F.lit("k"), F.col("doc_id")))
+    total = rows.count()
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, str(tmp_path))
+        got = out.collect()
+        left[name] = Counter(r.doc_id for r in got)
+        extra = ["_shard", "_slot"] if name == "shards" else []
+        assert out.columns == [*rows.columns, *extra]
+        assert all(r.shard == "shard" and r.n_words == "n_words" and r.notes == {"k": r.doc_id} for r in got)
+        assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+    assert left["quality_rules"] == {12: 1}
+    ordered = sorted(STRANGE, key=lambda x: (x[0] is None, x[0] or 0))
+    stay = near_survivors({i: t for i, (_, t, _) in enumerate(ordered)})
+    assert left["near_duplicates"] == Counter(ordered[i][0] for i in stay)
+    assert left["decontamination"][12] == 0 and sum(left["decontamination"].values()) == total - 1
+    assert sum(left["shards"].values()) == total
 
 
 def test_jump_moves_only_to_the_new_shard():
@@ -173,6 +218,20 @@ def test_em_finds_a_rule_that_is_often_wrong():
     assert np.abs(np.array(got) - right).max() < 0.02
 
 
+def test_em_overturns_the_verdict_of_equal_weights():
+    """Two rules that are hardly better than chance say bad, one that is nearly always right says good."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(100000) < 0.5
+    right = [0.6, 0.58, 0.97, 0.9, 0.9, 0.9, 0.9, 0.9]
+    votes = np.array([np.where(rng.random(100000) < a, truth, ~truth) for a in right]).T * 2 - 1
+    votes[rng.random(votes.shape) < 0.5] = 0
+    pattern = (-1, -1, 1, 0, 0, 0, 0, 0)
+    start = [quality.TRUSTED] * len(quality.RULES)
+    assert quality.posterior(start, pattern) < 0.5 < quality.posterior(quality.estimate(Counter(map(tuple, votes.tolist()))), pattern)
+    same = (votes == pattern).all(axis=1)
+    assert same.sum() > 20 and truth[same].mean() > 0.8
+
+
 def test_language(spark, docs):
     train = docs.select(F.col("doc_id").alias("key"), "text", "lang")
     net = language.fit(train, steps=5)

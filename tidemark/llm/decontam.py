@@ -1,8 +1,8 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The search symbols are words. For patterns of at least ``m`` words only each pattern's first ``m`` words enter the tables:
-a shift table over blocks of ``b`` words says how far the window can move, a bucket for each block that ends a prefix lists
-the patterns to test, and a direct comparison of the words confirms an occurrence.
+a shift table over blocks of ``b`` words says how far the window can move, a bucket for each first word and block that ends a
+prefix lists the patterns to test, and a direct comparison of the words confirms an occurrence.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 FOLD = bytes(c if c in WORD_BYTES else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 WINDOW = 10
 #: Bytes of benchmark text whose tables are held at once; a larger benchmark is searched in several rounds over the same rows.
-PATTERN_BYTES = 16 << 20
+#: Tables take about 80 times the text.
+PATTERN_BYTES = 2 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -52,7 +53,7 @@ class Matcher:
             for end in range(self.b, self.m + 1):
                 block = p[end - self.b : end] if self.b > 1 else p[end - 1]
                 self.shift[block] = min(self.m - end, self.shift.get(block, self.default))
-            self.bucket[p[self.m - self.b : self.m] if self.b > 1 else p[self.m - 1]].append(p)
+            self.bucket[p[0], p[self.m - self.b : self.m] if self.b > 1 else p[self.m - 1]].append(p)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """(start, pattern) of every occurrence."""
@@ -65,8 +66,8 @@ class Matcher:
                 at += move
                 continue
             start = at - m + 1
-            for p in bucket[block]:
-                if words[start] == p[0] and tuple(words[start : start + len(p)]) == p:
+            for p in bucket.get((words[start], block), ()):
+                if tuple(words[start : start + len(p)]) == p:
                     yield start, p
             at += 1
 
@@ -101,14 +102,17 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     Added: ``n_words``, ``spans`` (word ranges, half open, merged), ``items`` (ids of items with an occurring window, null ids
     left out). No row is moved: each round of patterns is one pass of the rows through the tables. Null and empty texts have
     no words; null benchmark texts have no windows; an empty benchmark finds nothing; copies of an item are found like it.
+    Item ids that are no whole numbers are given as strings. An empty table stays empty.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     names = dict(zip(("n_words", "spans", "items"), fresh({*docs.columns, *keep}, "n_words", "spans", "items"), strict=True))
     raw, = fresh({*docs.columns, *names.values()}, "raw")
+    id_kind = "bigint" if isinstance(benchmark.schema[item_id].dataType, T.IntegralType) else "string"
+    benchmark = benchmark.withColumn(item_id, F.col(f"`{item_id}`").cast(id_kind))
     out = docs.select(
         *[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias(raw), F.lit(None).cast("long").alias(names["n_words"]),
-        F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias(names["spans"]), F.expr("CAST(array() AS array<bigint>)").alias(names["items"]),
+        F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias(names["spans"]), F.expr(f"CAST(array() AS array<{id_kind}>)").alias(names["items"]),
     )
     none = True
     for group in rounds(benchmark, item_id, item_text, most):
@@ -154,6 +158,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold any benchmark window."""
+    """``docs`` without the rows that hold any benchmark window. Rows without words (null, empty) stay, repeated rows fare alike, a
+    text of any length is searched whole, columns of any name are kept, an empty table stays empty."""
     out, names = search(docs, benchmark)
-    return out.where(F.size(names["spans"]) == 0).select(*docs.columns)
+    return out.where(F.size(names["spans"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ DOCS_PER_LANGUAGE = 400
 WORDS_PER_LANGUAGE = 20_000
 #: Longest run of bytes that the network sees at once; a longer word is cut into such runs.
 SEGMENT = 32
+MOST_LANGUAGES = 200
 HIDDEN = 12
 STEPS = 700
 BATCH = 256
@@ -161,18 +162,18 @@ class Labeller:
 
 def fit(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = WORDS_PER_LANGUAGE, steps: int = STEPS) -> Network:
     """A network trained on rows (key, text, lang): about ``per_language`` of each language's rows, taken by a hash of the key,
-    and of these the ``words`` most frequent segments. Rows with a null key, text or language are not learned from."""
+    and of these the ``words`` most frequent segments. Rows with a null key, text or language are not learned from. Of more than
+    MOST_LANGUAGES languages the most frequent are learned."""
     labelled = labelled.where("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    seen = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    seen = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(seen)
     if not languages:
         return Network([])
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(per_language / seen[lang]))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20)
     sample = labelled.where(draw < share[F.col("lang")]).select("lang", F.explode(F.split(F.col("text"), r"[ \t-\r]+")).alias("w")).where("w != ''")
-    rows = []
-    for lang in languages:
-        rows += sample.where(F.col("lang") == lang).groupBy("lang", "w").count().orderBy(F.desc("count"), "w").limit(words).collect()
+    ranked = sample.groupBy("lang", "w").count().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w")))
+    rows = ranked.where(F.col("at") <= words).orderBy("lang", "at").collect()
     known = {lang: i for i, lang in enumerate(languages)}
     flat = [(s, known[r["lang"]], r["count"]) for r in rows for s in segments(r["w"].encode())]
     net = Network(languages)
@@ -186,7 +187,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", keep: list[str] |
 
     The two columns come last; underscores go before a name that is taken.
     A null text, a text without a letter, and any text if nothing was learned: ``und`` with score 0. Ties go to the first
-    language in alphabetical order.
+    language in alphabetical order. Repeated rows are labelled alike; a text of any length is labelled whole; an empty table stays empty.
     """
     keep = docs.columns if keep is None else keep
     lang, score = fresh(keep, lang, score)

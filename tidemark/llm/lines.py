@@ -48,7 +48,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     Lines end at a line feed and are compared byte by byte through their hashes; an empty line is a line. A line goes if a
     window of lines that holds it also starts earlier in the table, its own document included, as judged on the input. Rows
     with equal key and text are one document and keep the same lines; a null key comes first; a null text has no lines and
-    stays null; an empty text is one empty line.
+    stays null; an empty text is one empty line. A text of any length counts whole; names that are taken get underscores; an empty table stays empty.
     """
     keep = docs.columns if keep is None else keep
     names = dict(zip(("kept_text", "n_lines", "n_removed", "n_runs"), fresh({*docs.columns, *keep}, "kept_text", "n_lines", "n_removed", "n_runs"), strict=True))

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
@@ -21,7 +21,7 @@ MOST_SOURCES = 100_000
 
 
 def uniform(key: str, part: int = 0, seed: str = SEED) -> float:
-    """A number between 0 and 1, both excluded, from 52 bits of an MD5."""
+    """A number between 0 and 1, both excluded, from 52 bits of an MD5; ``uniforms`` gives the same as a column."""
     return (int(hashlib.md5(f"{seed}:{part}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
 
 
@@ -39,13 +39,18 @@ def inverse_poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return count
 
 
-def repeats(keys: pd.Series, means: pd.Series, seed: str = SEED) -> pd.Series:
+def uniforms(name: Column, mean: Column, seed: str = SEED) -> Column:
+    """``uniform`` for each part of a row's mean, as an array."""
+    digits = lambda p: F.substring(F.md5(F.concat(F.lit(f"{seed}:"), p.cast("string"), F.lit(":"), name).cast("binary")), 1, 13)
+    parts = F.greatest(F.lit(1), F.ceil(mean / PART))
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: (F.conv(digits(p), 16, 10).cast("double") + 0.5) / float(1 << 52))
+
+
+def repeats(draws: pd.Series, means: pd.Series) -> pd.Series:
     """For each row the running number of its copies after each part of its mean, from 0 on; the last one is their count."""
-    mean = means.to_numpy(np.float64)
-    parts = np.maximum(1, np.ceil(mean / PART)).astype(np.int64)
+    parts = draws.map(len).to_numpy(np.int64)
+    counts = inverse_poisson(np.concatenate([*draws, np.zeros(0)]), np.repeat(means.to_numpy(np.float64) / parts, parts))
     ends = np.cumsum(parts)
-    u = np.array([uniform(k, p, seed) for k, n in zip(keys, parts.tolist(), strict=True) for p in range(n)], np.float64)
-    counts = inverse_poisson(u, np.repeat(mean / parts, parts))
     return pd.Series([np.concatenate([[0], np.cumsum(counts[e - n : e])]) for e, n in zip(ends.tolist(), parts.tolist(), strict=True)], dtype=object)
 
 
@@ -57,7 +62,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     row's number, so rows with equal keys in a source repeat alike and a retry repeats the same; null keys count as ''. Rows
     go to a partition and a place in it by a hash of key and copy. ``copy`` and ``order`` name columns to keep for the number
     of the repetition (from 1) and the hash. An empty table stays empty. No weighted source present: nothing is left.
-    A row's copies are made a part of its mean at a time, so no array holds them all.
+    A row's copies are made a part of its mean at a time, so no array holds them all. Empty and very long texts are rows like any other.
     """
     n_copies, n_copy, n_order, n_rate, n_source = fresh(docs, "n_copies", "n_copy", "n_order", "rate", "of_source")
     sizes = docs.groupBy(F.col(source).alias(n_source)).agg(F.count("*").alias("rows"))
@@ -70,16 +75,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
         raise ValueError(f"{target:.0f} rows are asked for, but only {all_rows} are there")
     if n_sources <= MOST_SOURCES:
         rates = F.broadcast(rates)
-    draw = F.pandas_udf(lambda k, m: repeats(k, m, seed), "array<long>")
+    draw = F.pandas_udf(repeats, "array<long>")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rated = docs.join(rates, docs[source].eqNullSafe(F.col(n_source))).drop(n_source)
-    drawn = rated.withColumn(n_copies, draw(name, F.col(n_rate)))
+    rated = docs.join(rates, docs[f"`{source}`"].eqNullSafe(F.col(n_source))).drop(n_source)
+    drawn = rated.withColumn(n_copies, draw(uniforms(name, F.col(n_rate), seed), F.col(n_rate)))
     spans = F.transform(F.sequence(F.lit(1), F.size(n_copies) - 1), lambda i: F.struct((F.get(n_copies, i - 1) + 1).alias("a"), F.get(n_copies, i).alias("b")))
     parts = drawn.withColumn(n_copies, F.explode(spans)).where(F.col(n_copies)["a"] <= F.col(n_copies)["b"])
     copies = parts.withColumn(n_copy, F.explode(F.sequence(F.col(n_copies)["a"], F.col(n_copies)["b"])))
     placed = copies.withColumn(n_order, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col(n_copy)).cast("binary")))
     dealt = placed.repartition(F.col(n_order)).sortWithinPartitions(n_order)
     extra = [F.col(a).alias(b) for a, b in ((n_copy, copy), (n_order, order)) if b]
-    return dealt.select(*docs.columns, *extra)
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 

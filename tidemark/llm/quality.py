@@ -132,6 +132,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
     A text under LEAST_WORDS words or with more than MOST_REPEATED per cent of its words in repeated windows fails the base
     and is not kept; of the others those with quality of at least ``threshold`` are. The rules' chances come from all rows
     that pass the base; a text on which no rule votes has quality 0.5 and is kept. Null and empty texts fail the base; an empty table stays empty.
+    Repeated rows are judged alike and count each; a text of any length counts whole; names that are taken get underscores.
     """
     rows, names = measured(docs, text, keep)
     names |= dict(zip(("base_failed", "quality", "kept"), fresh(rows, "base_failed", "quality", "kept"), strict=True))
@@ -150,6 +151,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, th
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that the rules reject."""
+    """``docs`` without the rows that the rules reject: null, empty and short texts fail the base and go, repeated rows fare alike,
+    a text of any length counts whole, columns of any name are kept, an empty table stays empty."""
     rows, names = judge(docs, text)
-    return rows.where(names["kept"]).select(*docs.columns)
+    return rows.where(names["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh
 
@@ -32,8 +33,8 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """``jump`` as a column. A null key counts as key 0."""
+def jump_shard(key: Column, shards: int, kind: T.DataType = T.LongType()) -> Column:
+    """``jump`` as a column. A null key counts as key 0; keys that are no whole numbers are hashed to 64 bits by XXH64."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
 
@@ -41,18 +42,20 @@ def jump_shard(key: Column, shards: int) -> Column:
     def shard(keys: pd.Series) -> pd.Series:
         return pd.Series(jump(keys.to_numpy(np.int64), shards).astype(np.int32))
 
-    return shard(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
+    number = key.cast("long") if isinstance(kind, T.IntegralType) else F.when(key.isNotNull(), F.xxhash64(key))
+    return shard(F.coalesce(number, F.lit(0).cast("long")))
 
 
 def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", shard_col: str = "shard", grown_col: str | None = None) -> DataFrame:
     """``docs`` with the shard of each row, and with ``grown_col`` the shard it would have if there were one more.
 
     The key and the number of shards alone decide, so copies and retries agree and no row moves between old shards.
-    Null keys go where key 0 goes; rows with equal keys stay together; an empty table stays empty. Columns that have the
-    given names are replaced.
+    Null keys go where key 0 goes; rows with equal keys stay together; texts play no part, however long; an empty table stays
+    empty. The new columns come last; underscores go before a name that is taken.
     """
-    out = docs.withColumn(shard_col, jump_shard(F.col(key), shards))
-    return out.withColumn(grown_col, jump_shard(F.col(key), shards + 1)) if grown_col else out
+    names = fresh(docs, shard_col, *([grown_col] if grown_col else []))
+    kind = docs.schema[key].dataType
+    return docs.withColumns({n: jump_shard(F.col(f"`{key}`"), shards + i, kind) for i, n in enumerate(names)})
 
 
 def number(rows: DataFrame, shard: str = "shard", key: str = "doc_id", tie: tuple[str, ...] = (), slot: str = "slot") -> DataFrame:
@@ -60,10 +63,12 @@ def number(rows: DataFrame, shard: str = "shard", key: str = "doc_id", tie: tupl
 
     A shard may hold an eighth of all rows, so no task sees a shard whole: the order's leading hash digits cut each shard
     into buckets of about ROWS_PER_BUCKET rows, one small table holds how many rows lie before each bucket, and only a
-    bucket is sorted in one task. The places don't depend on the number of buckets. Equal rows are numbered in any order.
+    bucket is sorted in one task. The places don't depend on the number of buckets. Equal rows are numbered in any order; null
+    keys count as ''; an empty table stays empty. The place comes last, with underscores before its name if that is taken.
     """
+    slot, = fresh(rows, slot)
     order, bucket, before, seen, of_shard, of_bucket = fresh({*rows.columns, slot}, "order", "bucket", "before", "seen", "of_shard", "of_bucket")
-    rows = rows.withColumn(order, F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
+    rows = rows.withColumn(order, F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")))
     digits = 1
     n = rows.count()
     while 16**digits * ROWS_PER_BUCKET < n:

@@ -90,7 +90,8 @@ def count(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str
     """``keep`` (all of ``docs`` by default) with the words and tokens of each whole text.
 
     Words are parted by ASCII white space, case and all other characters count as they are. Null, empty and blank texts have
-    no words and no tokens. The two columns come last; underscores go before a name that is taken.
+    no words and no tokens; repeated rows count alike; a text of any length counts whole; an empty table stays empty. The two
+    columns come last; underscores go before a name that is taken.
     """
     if sum(len(p.encode()) for p in pieces) > MOST_BYTES:
         raise ValueError("the vocabulary is too large to send to every worker")
