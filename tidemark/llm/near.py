@@ -24,7 +24,7 @@ WORDS, RADIUS = 4, 68
 #: chance of (1 - 0.8**5)**40 = 1.3e-7.
 BANDS, ROWS = 40, 5
 #: Shingles that are hashed at a time, and the most shingles of a group that meet in one task.
-BLOCK, GROUP_SHINGLES = 1 << 11, 1 << 22
+BLOCK, GROUP_SHINGLES = 1 << 11, 1 << 17
 #: So many texts to compare are looked up by a broadcast of their rows' hashes; more by a shuffle.
 MOST_SENT = 200_000
 
