@@ -14,7 +14,7 @@ from .text import clean_title, looks_opaque, percent_decoded
 
 # File endings that are downloads or never are, tracking keys, and path words that name no file.
 DOWNLOADS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "7z", "rtf", "csv")
-NO_DOWNLOADS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "mp4", "mov", "avi", "mp3", "css", "js")
+NO_DOWNLOADS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "mp4", "mp3", "mov", "avi", "webm")
 TRACKING = ("v", "t", "ver", "timestamp", "authuser", "usp", "fbclid", "_", "nocache", "rand", "random")
 NO_FILE = ("view", "preview", "edit", "open", "share", "download", "viewform", "file", "d", "uc", "index", "default", "detail", "details", "document", "documents", "spreadsheets", "presentation", "forms", "drive", "folder", "folders", "e", "u", "a", "usp", "sharing", "copy", "template")
 DRIVE = "drive.google.com"

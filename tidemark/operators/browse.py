@@ -72,7 +72,7 @@ def allowed(requests: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame
 def with_region(rows: DataFrame, regions: DataFrame, source: str = "source") -> DataFrame:
     """The first region, by its place, that lists the source. ``regions``: ord, region, sources."""
     flat = regions.select("ord", "region", F.explode("sources").alias(source)).groupBy(source).agg(F.min_by("region", "ord").alias("region"))
-    return rows.join(F.broadcast(flat), source, "left")
+    return rows.join((flat), source, "left")
 
 
 def store_kind(category: Column, page: Column) -> Column:

@@ -128,7 +128,7 @@ def quoted_term(s: str) -> str:
 
 def sections_by_age(text: Column) -> tuple[Column, Column]:
     """Sections that 'N years or above' near a member word implies, and those that 'SECTION or above' does. ``text``: NFKC form."""
-    ages = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2})\s*歲\s*(?:或以上|以上)(?=.{0,24}?(?:童軍|成員|支部))"), 1), lambda a: a.cast("int"))
+    ages = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2})\s*歲\s*(?:或以上|以上)(?=(?s:.){0,22}?(?:童軍|成員|支部))"), 1), lambda a: a.cast("int"))
     tops = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(top).alias("top")) for s, top in t.AGE_SECTIONS.items()])
     by_age = F.transform(F.filter(tops, lambda x: F.exists(ages, lambda a: x["top"] >= a)), lambda x: x["s"])
     order = F.array(*[F.lit(s) for s in t.SECTIONS])
@@ -185,12 +185,16 @@ def requirement_only(text: Column, alias: Column) -> Column:
 def course_topics(notices: DataFrame, catalog: DataFrame, key: str = "notice_key", title: str = "title_form", text: str = "text_form") -> DataFrame:
     """(key, topic_id, evidence): the course topics that a notice's title or text names.
 
-    The catalog is a controlled list; its aliases are broadcast and met by 'contains', which is linear in the notices. Longer
-    names that merely contain an alias are masked first, and names met only in requirements don't count unless the title has them.
+    An alias can only be named where its first two characters stand, so notices and aliases meet on these by an equi join, and the
+    whole alias is looked for in the notices that it meets. Longer names that merely contain an alias are masked first, and
+    names met only in requirements don't count unless the title has them.
     """
-    names = F.broadcast(topic_aliases(catalog))
+    names = topic_aliases(catalog).withColumn("_start", F.substring(F.lower("alias"), 1, 2))
     whole = F.concat(F.col(title), F.lit("\n"), F.col(text))
-    met = notices.select(key, title, text, whole.alias("_whole")).join(names, F.contains(F.col("_whole"), F.lower("alias")))
+    read = notices.select(key, title, text, whole.alias("_whole"))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_whole"), F.lit(1)))
+    starts = read.select(key, F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col("_whole"), i, F.lit(2)), F.substring(F.col("_whole"), i, F.lit(1))))))).alias("_start"))
+    met = starts.join(names, "_start").drop("_start").join(read, key).where(F.contains(F.col("_whole"), F.lower("alias")))
     shown = F.aggregate("excluded", F.col("_whole"), lambda acc, x: F.replace(acc, F.lower(x), F.lit("␀")))
     met = met.where(F.contains(shown, F.lower("alias")) & (F.contains(F.col(title), F.lower("alias")) | ~requirement_only(F.col("_whole"), F.lower("alias"))))
     return met.groupBy(key, "topic_id").agg(F.slice(F.array_sort(F.collect_set("alias")), 1, 4).alias("evidence"))

@@ -69,9 +69,20 @@ def key_diff(before: DataFrame, after: DataFrame, keys: str | Sequence[str]) ->
     return both.select(*keys, F.when(F.col("_a").isNull(), "gained").otherwise("lost").alias("change"))
 
 
-def overlay(rows: DataFrame, corrections: DataFrame, keys: str | Sequence[str], fields: Sequence[str], changed: str = "is_changed") -> DataFrame:
-    """``rows`` with the corrections' non-null fields in place of their own, and a flag for rows that this changed. Twice is like once."""
+def last_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row of each key: the last by ``order``, and by the values of all columns where that leaves several."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    grouped = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order], *[F.to_json(F.struct(c)) for c in rest])).alias("_last"))
+    return grouped.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
+def overlay(rows: DataFrame, corrections: DataFrame, keys: str | Sequence[str], fields: Sequence[str], changed: str = "is_changed", order: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the corrections' non-null fields in place of their own, and a flag for rows that this changed. Twice is like
+    once; of several corrections of a key the last by ``order`` counts, so no row is doubled."""
     keys = columns(keys)
+    corrections = last_of_key(corrections, keys, order)
     other = corrections.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = rows.join(other, keys, "left")
     differs = F.lit(False)
@@ -88,9 +99,11 @@ def merge_backfill(remote: DataFrame, local: DataFrame, keys: str | Sequence[str
     return laid.unionByName(fills.join(remote.select(*keys).distinct(), keys, "left_anti").select(*remote.columns))
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: str | Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """The table after the changes: a changed row replaces the one of its key but for the fields in ``keep``, which stay as they were."""
+def upsert(base: DataFrame, changes: DataFrame, keys: str | Sequence[str], keep: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """The table after the changes: a changed row replaces the one of its key but for the fields in ``keep``, which stay as they
+    were. Of several changes of a key the last by ``order`` counts."""
     keys = columns(keys)
+    changes = last_of_key(changes, keys, order)
     fields = [c for c in base.columns if c not in keys]
     other = changes.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_in"))
     old = base.withColumn("_old", F.lit(True))
@@ -112,7 +125,8 @@ def without(table: DataFrame, gone: DataFrame, keys: str | Sequence[str]) -> Dat
 
 
 def two_probes(rows: DataFrame, table: DataFrame, key: str, first: str, second: str, fields: Sequence[str]) -> DataFrame:
-    """``rows`` with the table's fields, looked up by one address and, where that finds nothing, by the other."""
+    """``rows`` with the table's fields, looked up by one address and, where that finds nothing, by the other. Of several rows of an address one counts."""
+    table = last_of_key(table.select(key, *fields), [key])
     a = table.select(F.col(key).alias("_k1"), F.struct(*fields).alias("_f1"))
     b = table.select(F.col(key).alias("_k2"), F.struct(*fields).alias("_f2"))
     joined = rows.join(a, F.col(first) == F.col("_k1"), "left").join(b, F.col("_k1").isNull() & (F.col(second) == F.col("_k2")), "left")

@@ -204,9 +204,9 @@ def duplicate_title_warnings(t: Tables) -> DataFrame:
     return reports.duplicate_titles(t.part, "p_brand", "p_name", "p_partkey")
 
 
-MATCH = """WITH subs AS (SELECT c_custkey AS sub_id, [c_nationkey % 5, (c_nationkey + 1) % 5] AS branches, CASE c_custkey % 50 WHEN 0 THEN ['all:new'] WHEN 1 THEN ['all:tools', 't0'] WHEN 2 THEN ['all:notices'] ELSE ['t' || c_custkey % 4, 't' || (c_custkey + 1) % 6] END AS topics FROM customer WHERE c_custkey <= 150),
-cat AS (SELECT * FROM (VALUES ('t0', 't0', '*'), ('t1', 't1', '1'), ('t2', 't1', '*'), ('t3', 't3', '2'), ('t4', 't4', '*')) AS c(id, topic, scope)),
-notes AS (SELECT o_orderkey AS k, o_custkey % 5 AS branch, 't' || o_orderkey % 5 AS topic, o_orderkey % 10 = 0 AS tools FROM orders WHERE o_orderkey <= 2000),
+MATCH = """WITH subs AS (SELECT c_custkey AS sub_id, [c_nationkey, (c_nationkey + c_custkey) % 25] AS branches, CASE c_custkey % 700 WHEN 0 THEN ['all:new'] WHEN 1 THEN ['all:tools', 't0'] WHEN 2 THEN ['all:notices'] ELSE ['t' || c_custkey % 120, 't' || (c_custkey * 7 + 1) % 130] END AS topics FROM customer),
+cat AS (SELECT 't' || i AS id, 't' || CASE WHEN i % 5 = 2 THEN i - 1 ELSE i END AS topic, CASE i % 5 WHEN 1 THEN (i % 25)::VARCHAR WHEN 3 THEN (i * 2 % 25)::VARCHAR ELSE '*' END AS scope FROM range(120) AS r(i)),
+notes AS (SELECT o_orderkey AS k, o_custkey % 25 AS branch, 't' || o_orderkey % 120 AS topic, o_orderkey % 10 = 0 AS tools FROM orders),
 ask AS (SELECT sub_id, unnest(branches) AS branch, topics FROM subs), ask2 AS (SELECT sub_id, branch, unnest(topics) AS id FROM ask),
 pairs AS (SELECT DISTINCT sub_id, k AS notice_key FROM ask2 JOIN cat USING (id) JOIN notes ON notes.branch = ask2.branch AND notes.topic = cat.topic WHERE scope = '*' OR scope = ask2.branch::VARCHAR
 UNION SELECT sub_id, k FROM subs, notes WHERE list_contains(topics, 'all:new') OR (list_contains(topics, 'all:tools') AND tools) OR (list_contains(topics, 'all:notices') AND NOT tools))
@@ -214,13 +214,14 @@ UNION SELECT sub_id, k FROM subs, notes WHERE list_contains(topics, 'all:new') O
 
 
 def match_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n = F.col("c_nationkey")
-    c = F.col("c_custkey")
-    topics = F.when(c % 50 == 0, F.array(F.lit("all:new"))).when(c % 50 == 1, F.array(F.lit("all:tools"), F.lit("t0"))).when(c % 50 == 2, F.array(F.lit("all:notices"))).otherwise(F.array(F.concat(F.lit("t"), c % 4), F.concat(F.lit("t"), (c + 1) % 6)))
-    subs = t.customer.where("c_custkey <= 150").select(c.alias("sub_id"), F.array((n % 5).cast("string"), ((n + 1) % 5).cast("string")).alias("branch_ids"), topics.alias("topic_ids"))
-    k = F.col("o_orderkey")
-    notes = t.orders.where("o_orderkey <= 2000").select(k.alias("notice_key"), F.array((F.col("o_custkey") % 5).cast("string")).alias("branch_tags"), F.array(F.concat(F.lit("t"), k % 5)).alias("topic_tags"), (k % 10 == 0).alias("is_tools"))
-    catalog = t.spark.createDataFrame([("t0", "t0", ["*"]), ("t1", "t1", ["1"]), ("t2", "t1", ["*"]), ("t3", "t3", ["2"]), ("t4", "t4", ["*"])], "id string, match_topic string, branches array<string>")
+    """Every customer as a subscription, every order as a notice, 25 sections and 120 topics."""
+    n, c, k, i = (F.col(x) for x in ("c_nationkey", "c_custkey", "o_orderkey", "id"))
+    topic = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    topics = F.when(c % 700 == 0, F.array(F.lit("all:new"))).when(c % 700 == 1, F.array(F.lit("all:tools"), F.lit("t0"))).when(c % 700 == 2, F.array(F.lit("all:notices"))).otherwise(F.array(topic(c % 120), topic((c * 7 + 1) % 130)))
+    subs = t.customer.select(c.alias("sub_id"), F.array(n.cast("string"), ((n + c) % 25).cast("string")).alias("branch_ids"), topics.alias("topic_ids"))
+    notes = t.orders.select(k.alias("notice_key"), F.array((F.col("o_custkey") % 25).cast("string")).alias("branch_tags"), F.array(topic(k % 120)).alias("topic_tags"), (k % 10 == 0).alias("is_tools"))
+    scope = F.when(i % 5 == 1, (i % 25).cast("string")).when(i % 5 == 3, (i * 2 % 25).cast("string")).otherwise("*")
+    catalog = t.spark.range(120).select(topic(i).alias("id"), topic(F.when(i % 5 == 2, i - 1).otherwise(i)).alias("match_topic"), F.array(scope).alias("branches"))
     return subs, notes, catalog
 
 

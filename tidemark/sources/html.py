@@ -14,26 +14,34 @@ from pyspark.sql import types as T
 # Tags that carry an address, and tags whose text is no text.
 ADDRESSES = {"a": "href", "iframe": "src", "embed": "src", "object": "data", "area": "href"}
 SILENT = frozenset({"script", "style", "noscript", "template"})
-BLOCKS = frozenset({"p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "br", "table", "ul", "ol"})
 NODES = "{key}, pos int, tag string, href string, text string, attrs map<string,string>, row int"
 
 
 class Parser(HTMLParser):
     """Nodes in order: elements with an address, with their own text; pieces of other text; refreshing metas. ``row``: number of the enclosing table row or list item, 0 outside."""
 
-    def __init__(self) -> None:
+    def __init__(self, silencing: frozenset = SILENT) -> None:
         super().__init__(convert_charrefs=True)
+        self.silencing = silencing
         self.out: list[list] = []
         self.open: list[list] = []
-        self.silent = self.rows = self.row = 0
+        self.silent: list[str] = []
+        self.inside: list[list] = []
+        self.rows = 0
+
+    @property
+    def row(self) -> int:
+        return self.inside[-1][1] if self.inside else 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         held = {k: v or "" for k, v in attrs}
-        if tag in SILENT:
-            self.silent += 1
+        if tag in self.silencing:
+            self.silent.append(tag)
         elif tag in ("tr", "li"):
             self.rows += 1
-            self.row = self.rows
+            self.inside.append([tag, self.rows])
+        elif tag == "body":
+            self.silent.clear()
         if tag in ADDRESSES:
             node = [tag, held.get(ADDRESSES[tag]), "", held, self.row]
             self.out.append(node)
@@ -43,15 +51,27 @@ class Parser(HTMLParser):
             self.out.append(["meta", held.get("content"), "", held, self.row])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag in self.silencing:
+            self.unwind(self.silent, tag)
         elif tag in ("tr", "li"):
-            self.row = 0
+            self.unwind(self.inside, tag)
+        elif tag in ("table", "ul", "ol"):
+            self.unwind(self.inside, "tr" if tag == "table" else "li")
+        elif tag in ("head", "body"):
+            self.silent.clear()
         elif tag in ("a", "object"):
             while self.open:
                 if self.open.pop()[0] == tag:
                     break
 
+    @staticmethod
+    def unwind(stack: list, tag: str) -> None:
+        """Closes the innermost open element of that name and all that was left open in it; none if there is none."""
+        for i in range(len(stack) - 1, -1, -1):
+            if (stack[i] if isinstance(stack[i], str) else stack[i][0]) == tag:
+                del stack[i:]
+                return
+
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
         if not text or self.silent:
@@ -66,6 +86,10 @@ def parsed(html: str | None) -> list[list]:
     p = Parser()
     p.feed(html or "")
     p.close()
+    if set(p.silent) & {"noscript", "template"}:  # never closed: then its text is the page's
+        p = Parser(SILENT - set(p.silent))
+        p.feed(html or "")
+        p.close()
     return p.out
 
 

@@ -22,15 +22,33 @@ def files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def published(spark: SparkSession, root: str) -> list[int]:
+    """The versions that have a marker."""
+    fs, p = files(spark, f"{root}/_published")
+    return [int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()] if fs.exists(p) else []
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """The highest published version, 0 before the first."""
-    fs, p = files(spark, f"{root}/_published")
-    return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+    return max(published(spark, root), default=0)
+
+
+def folder(spark: SparkSession, root: str, version: int) -> str:
+    """Where a version's tables are: the marker holds the name of the folder that its writer filled."""
+    fs, marker = files(spark, f"{root}/_published/{version}")
+    stream = fs.open(marker)
+    try:
+        return f"{root}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
 
 
 def load(spark: SparkSession, root: str, names: Iterable[str]) -> tuple[int, dict[str, DataFrame]]:
     version = current_version(spark, root)
-    return version, {n: spark.read.parquet(f"{root}/v={version}/{n}") for n in names} if version else {}
+    if not version:
+        return 0, {}
+    path = folder(spark, root, version)
+    return version, {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
 def broken(df: DataFrame, rules: Mapping[str, Column]) -> dict[str, int]:
@@ -44,26 +62,32 @@ def broken(df: DataFrame, rules: Mapping[str, Column]) -> dict[str, int]:
 def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], loaded: int, rules: Mapping[str, Mapping[str, Column]] | None = None) -> int:
     """Write all tables as one new version, if they keep their rules and ``loaded`` is still the published version.
 
-    Files of the version are written first; its marker is then made by an exclusive create, which only one of several
-    writers can win. A loser's files are removed, readers never see a part.
+    Files of the version are written first, to a folder of their own. The marker that names this folder is then put in place by
+    a rename that fails if the version has one: only one of several writers can win, and one that dies before leaves nothing
+    that stops others. A loser's files are removed, readers never see a part.
     """
     for name, df in tables.items():
         if faults := broken(df, (rules or {}).get(name, {})):
             raise Invalid(f"{name}: {faults}")
     if current_version(spark, root) != loaded:
         raise Stale(f"version {loaded} is no longer the published one")
-    version = loaded + 1
-    work = f"{root}/_work/{uuid.uuid4().hex}"
+    version, name_ = loaded + 1, f"v={loaded + 1}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{work}/{name}")
+        df.write.parquet(f"{root}/{name_}/{name}")
     fs, marker = files(spark, f"{root}/_published/{version}")
     fs.mkdirs(marker.getParent())
-    target = files(spark, f"{root}/v={version}")[1]
-    if not fs.createNewFile(files(spark, f"{root}/_lease_{version}")[1]):
-        fs.delete(files(spark, work)[1], True)
-        raise Stale(f"version {version} was taken by another writer")
-    fs.rename(files(spark, work)[1], target)
-    fs.createNewFile(marker)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    draft = files(spark, f"{root}/_drafts/{name_}")[1]
+    stream = fs.create(draft)
+    stream.write(name_.encode())
+    stream.close()
+    try:
+        context = jvm.FileContext.getFileContext(marker.toUri(), spark._jsc.hadoopConfiguration())
+        context.rename(draft, marker, spark._sc._gateway.new_array(jvm.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(draft, False)
+        fs.delete(files(spark, f"{root}/{name_}")[1], True)
+        raise Stale(f"version {version} was taken by another writer") from e
     return version
 
 
@@ -88,9 +112,10 @@ def in_batches(df: DataFrame, send: Callable[[list[dict]], None], size: int = 10
 
 def drop_old(spark: SparkSession, root: str, keep: int) -> list[int]:
     """Remove all but the last ``keep`` versions."""
-    fs, p = files(spark, root)
+    fs, _ = files(spark, root)
     now = current_version(spark, root)
-    gone = [v for s in fs.listStatus(p) if (name := s.getPath().getName()).startswith("v=") and (v := int(name[2:])) <= now - keep]
+    gone = sorted(v for v in published(spark, root) if v <= now - keep)
     for v in gone:
-        fs.delete(files(spark, f"{root}/v={v}")[1], True)
-    return sorted(gone)
+        fs.delete(files(spark, folder(spark, root, v))[1], True)
+        fs.delete(files(spark, f"{root}/_published/{v}")[1], False)
+    return gone

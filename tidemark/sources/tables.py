@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators.rows import exploded_map
+from .sinks import folder
 
 NOTICE = "source_site string, region string, title string, url string, pdf_url string, date string, captured_date string, published_date string, backfilled_at string, suppress_notifications boolean, tags array<string>"
 ROW = f"struct<{', '.join(':'.join(f.split(' ')) for f in NOTICE.split(', '))}>"
@@ -50,10 +51,11 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("source", "fingerprint"))
 
 
-def previous(spark: SparkSession, root: str, version: int) -> DataFrame | None:
-    """The snapshot of an earlier version; None if there is none, and then nothing may be sent."""
-    path = f"{root}/v={version}"
-    return spark.read.parquet(path) if version > 0 and exists(spark, path) else None
+def previous(spark: SparkSession, root: str, version: int, name: str = "notices") -> DataFrame | None:
+    """A table of an earlier version; None if there is none, and then nothing may be sent."""
+    if version <= 0 or not exists(spark, f"{root}/_published/{version}"):
+        return None
+    return spark.read.parquet(f"{folder(spark, root, version)}/{name}")
 
 
 def database(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
@@ -84,15 +86,13 @@ class PagedReader(DataSourceReader):
                     rows = json.load(answer)
                 break
             except urllib.error.HTTPError as e:
-                if e.code in (400, 404):  # beyond the last page
+                if e.code in (400, 404) and partition.value > 1:  # beyond the last page
                     return
                 time.sleep(2**attempt)
             except (OSError, ValueError):
                 time.sleep(2**attempt)
         else:
-            if partition.value == 1:
-                raise OSError(f"no answer from {url}")
-            return
+            raise OSError(f"no answer from {url}")
         for row in rows if isinstance(rows, list) else rows.get("items", []):
             yield tuple(row.get(f.name) if not isinstance(row.get(f.name), (dict, list)) else json.dumps(row[f.name]) for f in self.schema.fields)
 
