@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.audience import audience
+from tidemark.functions.text import nfkc
 from tidemark.operators import browse
 
 NAMES = {"小童軍": "小童軍", "幼童軍": "幼童軍", "童軍": "童軍", "深資童軍": "深資童軍", "樂行童軍": "樂行童軍", "領袖": "領袖"}
@@ -38,7 +39,11 @@ def test_lists(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("歡迎各合資格的人士\n參加資格：深資童軍及樂行童軍\n報名：領袖", "深資童軍、樂行童軍"), ("致：各旅領袖", "領袖"), ("沒有說明", None), ("對象：所有成員", "所有成員"), ("", None),
+    ("歡迎各合資格的人士\n參加資格：深資童軍及樂行童軍\n報名：領袖", "深資童軍、樂行童軍"), ("致：各旅領袖", "領袖"), ("沒有說明", None), ("對象：所有成員", None), ("", None),
+    ("對象:\n(1)幼童軍\n(2)領袖\n費用:家長", "幼童軍、領袖"), ("參加資格：15歲以上之童軍成員", "童軍、深資童軍、樂行童軍"), ("參加資格：18歲或以上之童軍成員", "深資童軍、樂行童軍"),
+    ("參加資格：12歲或以上各支部成員", "各支部成員（12歲或以上）、童軍、深資童軍、樂行童軍"), ("參加資格：年滿12歲的各支部成員", "各支部成員（年滿12歲）"), ("對象：幼童軍領袖，須獲家長同意", "領袖"), ("2.1 11至26歲的童軍、深資童軍或樂行童軍支部成員;\n2.2 持有證書\n截止日期：", "深資童軍、樂行童軍、童軍"),
+    ("致：香港童軍中心十樓", None), ("致：各旅長\n知會：領袖", None), ("參加對象：童軍支部或以上成員", "童軍、深資童軍、樂行童軍"), ("參加資格：已完成領袖基本訓練班之會務委員", "會務委員"),
 ])
 def test_audience(spark, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(audience(F.col("t"))).first()[0] == want
+    df = spark.createDataFrame([(text,)], "t string").withColumn("form", nfkc(F.col("t")))
+    assert df.select(audience(F.col("form"))).first()[0] == want

@@ -34,3 +34,13 @@ REQUIREMENT_CHARS = 14
 COURSE_FORMS = ("訓練班", "工作坊", "課程", "訓練課程", "訓練", "研習班", "培訓", "進修班")
 BADGE = "章"
 BADGE_FORMS = ("專章", "(興趣組)專章", "(技能組)專章", "(服務組)專章", "(教導組)專章", "(興趣組)章", "(技能組)章", "(服務組)章", "(教導組)章", "訓練班", "工作坊", "考驗")
+
+# The story classifier's own lists.
+STORY_COMPETITION = ("比賽", "錦標賽", "大賽", "競賽", "錦標", "公開賽", "邀請賽", "練習賽", "體驗賽", "會操", "選拔賽", "田徑賽", "友誼賽", "實體賽", "成績公佈", "成績公布", "結果公佈", "結果公布", "公佈結果", "公布結果", "賽果公佈", "賽果公布")
+STORY_TRAINING = ("訓練", "工作坊", "課程", "研習", "考章", "徽章班", "考核", "講座", "簡介會", "青年獎勵", "座談會", "集訓", "建造班")
+STORY_SERVICE = r"服務(?!組)|工作人員|義工|義務"
+STORY_ACTIVITY = ("活動", "旅行", "遠足", "宿營", "露營", "嘉年華", "同樂日", "晚宴", "參觀", "參訪", "體驗", "遊", "市集", "考察團", "代表團", "交流團", "訪問團", "參訪團", "童探索", "分享會", "步行籌款", "籌款", "之行", "之旅", "出海記", "大冒險", "派對", "燒烤")
+STORY_OVERRIDE = ("童軍獎勵", "旅團獎勵", "優異旅團", "傑出旅團", "功績獎勵", "服務獎勵", "服務獎", "獎學基金", "嘉許計劃", "津貼計劃", "學生隊員制服資助計劃", "津貼", "特惠菜式")
+STORY_AWARD_PLAN, STORY_YOUTH_AWARD = "獎勵計劃", "青年獎勵"
+STORY_ANNOUNCEMENT = r"公告|公布|公佈"
+STORY_RESULTS = r"成績公布|成績公佈|結果公布|結果公佈|公佈結果|公布結果|賽果公布|賽果公佈"

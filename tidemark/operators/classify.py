@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
+from ..functions.audience import sections_by_age
 from ..functions.text import match_text
 
 EMPTY = "CAST(array() AS array<string>)"
@@ -126,17 +127,6 @@ def quoted_term(s: str) -> str:
     return "".join(f"\\{c}" if c in r"\.[]{}()*+-?^$|" else c for c in s)
 
 
-def sections_by_age(text: Column) -> tuple[Column, Column]:
-    """Sections that 'N years or above' near a member word implies, and those that 'SECTION or above' does. ``text``: NFKC form."""
-    ages = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2})\s*歲\s*(?:或以上|以上)(?=(?s:.){0,22}?(?:童軍|成員|支部))"), 1), lambda a: a.cast("int"))
-    tops = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(top).alias("top")) for s, top in t.AGE_SECTIONS.items()])
-    by_age = F.transform(F.filter(tops, lambda x: F.exists(ages, lambda a: x["top"] >= a)), lambda x: x["s"])
-    order = F.array(*[F.lit(s) for s in t.SECTIONS])
-    named = F.regexp_extract_all(text, F.lit(r"(小童軍|幼童軍|深資童軍|樂行童軍|童軍)(?:支部)?\s*(?:或以上|以上)"), 1)
-    above = F.array_distinct(F.flatten(F.transform(named, lambda n: F.slice(order, F.array_position(order, n).cast("int"), F.lit(len(t.SECTIONS))))))
-    return by_age, above
-
-
 def sections(text: Column, names: dict[str, str], nfkc_text: Column | None = None) -> Column:
     """Section ids of an audience or title, sorted. ``text``: matching form; ``names``: alias (matching form) to id.
 
@@ -171,7 +161,12 @@ def topic_aliases(catalog: DataFrame) -> DataFrame:
     course = catalog.where("kind = 'course'")
     forms = F.transform(F.array(*[F.lit(x) for x in t.COURSE_FORMS]), lambda f: F.concat(F.trim("label"), f))
     names = F.concat(F.coalesce("aliases", F.expr(EMPTY)), F.when(F.trim("label") != "", forms).otherwise(F.expr(EMPTY)), badge_forms(F.trim("label")))
-    return course.select(F.col("id").alias("topic_id"), F.explode(F.array_distinct(names)).alias("alias"), F.coalesce("exclude", F.expr(EMPTY)).alias("excluded"))
+    return course.select(F.col("id").alias("topic_id"), F.explode(F.array_distinct(names)).alias("alias"), with_stems(F.coalesce("exclude", F.expr(EMPTY))).alias("excluded"))
+
+
+def with_stems(names: Column) -> Column:
+    """The names, and after each that is a badge's the badge without its last character."""
+    return F.flatten(F.transform(names, lambda n: F.when(n.endswith(t.BADGE) & (F.length(n) >= 3), F.array(n, F.regexp_replace(n, f"{t.BADGE}$", ""))).otherwise(F.array(n))))
 
 
 def requirement_only(text: Column, alias: Column) -> Column:
@@ -189,8 +184,13 @@ def course_topics(notices: DataFrame, catalog: DataFrame, key: str = "notice_key
     whole alias is looked for in the notices that it meets. Longer names that merely contain an alias are masked first, and
     names met only in requirements don't count unless the title has them.
     """
-    names = topic_aliases(catalog).withColumn("_start", F.substring(F.lower("alias"), 1, 2))
-    whole = F.concat(F.col(title), F.lit("\n"), F.col(text))
+    return named_topics(notices, topic_aliases(catalog), key, title, text)
+
+
+def named_topics(notices: DataFrame, aliases: DataFrame, key: str, title: str, text: str) -> DataFrame:
+    """(key, topic_id, evidence) for ``aliases`` (topic_id, alias, excluded)."""
+    names = aliases.where("alias != ''").withColumn("_start", F.substring(F.lower("alias"), 1, 2))
+    whole = F.concat(F.col(title), F.col(text))
     read = notices.select(key, title, text, whole.alias("_whole"))
     at = F.sequence(F.lit(1), F.greatest(F.length("_whole"), F.lit(1)))
     starts = read.select(key, F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col("_whole"), i, F.lit(2)), F.substring(F.col("_whole"), i, F.lit(1))))))).alias("_start"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import terms as t
+from ..functions.text import VARIANTS
+
 # Categories in their order of preference, cards a day, slogans a category, and template names.
 CATEGORIES = ("training", "activity", "service", "competition")
 MOST = 5
@@ -73,3 +76,29 @@ def stable_choice(key: Column, n: int) -> Column:
 def summary(rows: DataFrame, group: Sequence[str], done: Column) -> DataFrame:
     """Candidates and incomplete ones of each group."""
     return rows.groupBy(*group).agg(F.count("*").alias("candidates"), F.count_if(~done).alias("incomplete"))
+
+
+def story_category(title: Column) -> Column:
+    """What a story shows: the first rule that the title's words meet, else 'other'."""
+    c = F.translate(F.coalesce(title, F.lit("")), *VARIANTS)
+    has = lambda terms: c.rlike(terms if isinstance(terms, str) else "|".join(terms))
+    rally, service, override = has(t.RALLY), has(t.STORY_SERVICE), has(t.STORY_OVERRIDE)
+    rules = (
+        (has(t.LOST_PROPERTY), "announcement"),
+        (rally & service & ~override, "service"),
+        (rally & has(t.RALLY_COMPETITION), "competition"),
+        (rally, "activity"),
+        (F.regexp_replace(c, t.STORY_RESULTS, "").rlike(t.STORY_ANNOUNCEMENT), "announcement"),
+        (~has(t.STORY_YOUTH_AWARD) & (override | has(t.STORY_AWARD_PLAN)), "announcement"),
+        (has(t.STRONG_ACTIVITY), "activity"),
+        (service, "service"),
+        (has(t.STORY_COMPETITION), "competition"),
+        (has(t.REFERENCE) | c.rlike(t.MONTHLY_DIGEST), "announcement"),
+        (has(t.STORY_TRAINING), "training"),
+        (has(t.MEMBERSHIP), "announcement"),
+        (has(t.STORY_ACTIVITY), "activity"),
+    )
+    out = F.when(rules[0][0], rules[0][1])
+    for test, kind in rules[1:]:
+        out = out.when(test, kind)
+    return out.otherwise("other")
