@@ -381,11 +381,6 @@ def sidebar_counts(t: Tables) -> DataFrame:
     return browse.side_counts(c, "region", "source", "day", today())
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey % 9 = 0""")
-def exact_batch_view(t: Tables) -> DataFrame:
-    return browse.exact_batch(t.part.select("p_partkey"), t.lineitem.select((F.col("l_partkey") * 9).alias("p_partkey")).unionByName(t.part.where("p_partkey % 9 = 0").select("p_partkey")), "p_partkey").where("p_partkey % 9 = 0")
-
-
 @query("""SELECT o_custkey AS notice_id, 'u' || o_orderkey AS url, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS gone, o_orderkey % 10 = 0 AS hidden FROM orders""")
 def bookmark_flags(t: Tables) -> DataFrame:
     saved = t.orders.select(F.col("o_custkey").alias("notice_id"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))
