@@ -12,28 +12,36 @@ WINDOW = 3
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """A row for each window of lines: (id, th) of its document, its start ``s``, the place ``p`` and hash ``f`` of the line that
-    it selects (the least hash, the rightmost of equals), and a 128-bit hash (k1, k2) of its lines."""
+    """A row for each line that a window of its document selects, the least hash, the rightmost of equals: (id, th) of the document, the
+    hash ``f`` and place ``p`` of the line, the start ``s`` and number ``n`` of the windows that select it, which are neighbours,
+    and the two hashes ``a`` and ``b`` of each line that these windows hold, so from ``s`` on."""
     lines = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines")).where(F.size("lines") >= window)
     hashed = lines.select("id", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
-    starts = hashed.select("id", "th", "a", "b", F.explode(F.sequence(F.lit(0), F.size("a") - window)).alias("s"))
-    cut = starts.select("id", "th", "s", F.slice("a", F.col("s") + 1, window).alias("a"), F.slice("b", F.col("s") + 1, window).alias("b"))
-    return cut.select("id", "th", "s", (F.col("s") + window - F.array_position(F.reverse("a"), F.array_min("a"))).cast("int").alias("p"), F.array_min("a").alias("f"), F.xxhash64("a").alias("k1"), F.xxhash64("b").alias("k2"))
+    least = lambda w: window - F.array_position(F.reverse(w), F.array_min(w))
+    placed = hashed.select("id", "th", "a", "b", F.transform(F.sequence(F.lit(0), F.size("a") - window), lambda s: (s + least(F.slice("a", s + 1, window))).cast("int")).alias("ps"))
+    firsts = F.filter(F.sequence(F.lit(0), F.size("ps") - 1), lambda s: (s == 0) | (F.get("ps", s - 1) != F.get("ps", s)))
+    starts = placed.select("id", "th", "a", "b", "ps", F.explode(firsts).alias("s")).withColumn("p", F.get("ps", F.col("s")))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.get("ps", F.col("s") + k) == F.col("p")))
+    counted = starts.select("id", "th", "a", "b", "s", "p", same.alias("n"))
+    around = lambda c: F.slice(c, F.col("s") + 1, F.col("n") + (window - 1)).alias(c)
+    return counted.select("id", "th", F.get("a", F.col("p")).alias("f"), "p", "s", "n", around("a"), around("b"))
 
 
 def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, th, gone): the places of lines in runs of at least ``window`` lines that start earlier elsewhere, by (key, text hash, place).
 
-    Equal windows select the same line, so only windows whose selected line is a fingerprint at two places can have come
-    before: all others leave here. The rest meet their equals by their own hash, which extends a match over every window
-    left and right of the fingerprint; chained windows make the whole run. The first of equal windows is found by an
-    aggregation that combines before its shuffle, and the join back is one that Spark can split, so a line or passage in a
-    third of all documents is no hot key. No pairs are formed.
+    Only selected lines are stored, joined by their hash, and only where a hash is at two places is a match extended: over the
+    lines left and right of the fingerprint, as far as the windows go that select it. Equal runs select equal lines, so every
+    window of a match is met at its own fingerprint, and windows that follow one another make the whole run. The first of
+    equal windows is found by an aggregation that combines before its shuffle, and the join back is one that Spark can split,
+    so a line or passage in a third of all documents is no hot key. No pairs are formed.
     """
-    rows = written(fingerprints(docs, key, text, window), "windows")
+    rows = written(fingerprints(docs, key, text, window), "fingerprints")
     place = F.struct("id", "th", "p")
     repeated = rows.groupBy("f").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select(F.col("f").alias("of"))
-    met = rows.join(repeated, rows["f"] == repeated["of"]).select("id", "th", "s", "k1", "k2")
+    joined = rows.join(repeated, rows["f"] == repeated["of"]).select("id", "th", "s", "a", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    extended = lambda c: F.xxhash64(F.slice(c, F.col("k") + 1, window))
+    met = joined.select("id", "th", (F.col("s") + F.col("k")).alias("s"), extended("a").alias("k1"), extended("b").alias("k2"))
     start = F.struct("id", "th", "s")
     first = met.groupBy("k1", "k2").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first")
     later = met.join(first, (met["k1"] == first["j1"]) & (met["k2"] == first["j2"])).where(~start.eqNullSafe(F.col("first")))

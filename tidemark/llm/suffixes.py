@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, slices, written
 
 SIZE = 200
 GRAM = 64
@@ -97,14 +97,15 @@ def selected(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """(key, ctx, rid, pos, twice) of all selected places; ``docs``: (rid, raw). ``ctx`` hashes the bytes around that a string over the gram can have.
 
     Contexts that a task meets twice are settled there: one place stands for them under the gram's key, with ``twice`` set; the
-    others are dealt out under keys of their own. So copies, and text that repeats itself, make no hot key.
+    others are dealt out under keys of their own. So copies, and text that repeats itself, make no hot key. Contexts of texts
+    at hand count as equal if their bytes are; of those met before, the task keeps a digest of 128 bits beside the hash.
     """
     reach = size - gram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnow = Winnower(size, gram)
-        digest = xxhash.xxh3_64_intdigest
-        settled = np.zeros(0, np.uint64)
+        digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        settled: dict[int, bytes] = {}
         for part, texts in slices(batches, "raw"):
             rows = [i for i, t in enumerate(texts) if t and len(t) >= size]
             if not rows:
@@ -121,11 +122,26 @@ def selected(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 pos = places - start
                 pair = mixed(mixed(keys) + ctx)
                 met, first, which, n = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                before = np.isin(met, settled)
-                stands = np.zeros(len(pair), bool)
-                stands[first[~before]] = True
-                twice = ((n > 1) | before)[which]
-                settled = np.concatenate([settled if len(settled) < REMEMBERED else settled[:0], met[(n > 1) & ~before]])
+                if len(settled) > REMEMBERED:
+                    settled = {}
+                stands, twice = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
+                stands[first] = True
+                a, b = low.tolist(), high.tolist()
+                names = met.tolist()
+                heads = first[which]
+                for i, j in zip(others := np.flatnonzero(~stands).tolist(), heads[others].tolist(), strict=True):
+                    if whole[a[i] : b[i]] == whole[a[j] : b[j]]:
+                        twice[i] = twice[j] = True
+                    else:
+                        stands[i] = True
+                before = np.fromiter((x in settled for x in names), bool, len(names))
+                for g in np.flatnonzero(before | twice[first]).tolist():
+                    i = int(first[g])
+                    mark = wide(whole[a[i] : b[i]])
+                    if not before[g]:
+                        settled[names[g]] = mark
+                    elif settled[names[g]] == mark:
+                        stands[i], twice[i] = False, True
                 own = mixed(mixed(rids[doc].astype(np.int64).view(np.uint64)) + pos.astype(np.uint64) + np.uint64(1))
                 keys = np.where(stands, keys, own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(rids[doc]), pa.array(pos.astype(np.int32)), pa.array(twice)], names=["key", "ctx", "rid", "pos", "twice"])
@@ -284,15 +300,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """``keep`` (all of ``docs`` by default) with ``kept_raw`` (binary, the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Every byte of a ``size``-byte string that also starts elsewhere in the table goes, as judged on the input. Null and
-    empty texts have no bytes, shorter texts keep all. Repeated keys: rows with equal key and text are told from other rows
-    by a hash of both, each of them a place of its own strings. An empty table stays empty.
+    empty texts have no bytes, shorter texts keep all. Rows are told apart by their keys if these are distinct whole numbers, else
+    by numbers given to them in a table that is written once; so repeated rows are places of their own strings. A text of any
+    length counts whole; an empty table stays empty.
     """
     keep = docs.columns if keep is None else keep
     names = dict(zip(("kept_raw", "n_bytes", "n_removed", "n_spans"), fresh({*docs.columns, *keep}, "kept_raw", "n_bytes", "n_removed", "n_spans"), strict=True))
     kept = [F.col(f"`{c}`") for c in keep]
     ids = docs.agg(F.count("*"), F.count(key), F.countDistinct(key)).first()
     plain = len(set(ids)) == 1 and docs.schema[key].dataType in (T.LongType(), T.IntegerType())
-    rid = F.col(key).cast("long") if plain else F.xxhash64(F.lit(1), F.col(key), F.lit(2), F.col(text))
+    number, = fresh({*docs.columns, *keep, *names.values()}, "row_number")
+    if not plain:
+        docs = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rid = F.col(f"`{key}`").cast("long") if plain else F.col(number)
     rid_, raw, marks, spans = fresh({*docs.columns, *keep, *names.values()}, "rid", "raw", "marks", "spans")
     places = selected(docs.select(rid.alias("rid"), F.col(text).cast("binary").alias("raw")), size, gram)
     by_key, by_ctx = Window.partitionBy("key"), Window.partitionBy("key", "ctx")
