@@ -32,7 +32,7 @@ def ages(rows: DataFrame, source: str, day: Column, today: Column) -> DataFrame:
 def freshness(rows: DataFrame, source: str, day: Column, today: Column) -> DataFrame:
     """(bucket, sources) for every bucket, zeros too: six exclusive buckets that leave no source out."""
     counted = ages(rows, source, day, today).groupBy("bucket").agg(F.count("*").alias("sources"))
-    names = rows.sparkSession.createDataFrame([(i, b) for i, (b, _) in enumerate(BUCKETS)], "ord int, bucket string")
+    names = rows.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(b) for b, _ in BUCKETS])).alias("ord", "bucket"))
     return names.join(F.broadcast(counted), "bucket", "left").select("bucket", "ord", F.coalesce("sources", F.lit(0)).cast("long").alias("sources"))
 
 

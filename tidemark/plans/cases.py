@@ -116,6 +116,27 @@ cases("text_mojibake", text.mojibake_repaired, [("Ã©", "é"), ("plain {n}", "p
 cases("text_junk_title", reports.is_junk, [("12", True), ("Real title {n}", False), ("", True), (" 7 ", True)])
 cases("text_effective_variants", lambda c: joined(text.title_variants(c)), [("露營活動", "露營活動"), ("露營活動通告 - 第二期活動", "露營活動通告 - 第二期活動|露營活動通告|第二期活動")])
 
+cases("text_listing_suffix", text.without_listing_suffix, [("夏令營訓練班 - 通告07.10", "夏令營訓練班"), ("夏令營訓練班 - >>下載連結<<", "夏令營訓練班"), ("夏令營訓練班 — https://x.org/{n}", "夏令營訓練班"), ("營 - 通告12", "營 - 通告12"), ("夏令營訓練班", "夏令營訓練班"), (None, "")])
+cases("text_bad_fragment", text.has_bad_fragment, [("café {n}", True), ("夏令營 {n}", False), ("20°", True), ("ã", True)])
+cases("page_charset", text.charset, [("big5", "utf-8", "utf-8"), ("big5", "big5", "cp950"), ("cp950", "cp1251", "cp950"), ("utf-8", "big5", "utf-8"), (None, "GB18030", "gb18030"), (None, "cp1251", "utf-8"), ("", "", "utf-8"), (None, "utf_8", "utf_8")])
+cases("page_decoded", lambda h, c: text.decoded(F.unhex(h), c), [("A4A4", "cp950", "中"), ("E4B8AD", "utf-8", "中"), ("D6D0", "gbk", "中"), ("E9", "latin-1", "é"), ("E9", "utf-8", "�")])
+
+
+def row_titles(name: str, examples: Sequence[tuple[str | None, str | None]]) -> None:
+    def run(spark, sf_dir: str) -> DataFrame:
+        pick = F.element_at(F.array(*[F.lit(e[0]) for e in examples]), (F.col(KEY) % len(examples)).cast("int") + 1)
+        return text.title_from_row(Tables(spark, sf_dir).part.select(KEY, pick.alias("row")), "row", "result").select(KEY, "result")
+
+    QUERIES[name] = run
+    whens = " ".join(f"WHEN {i} THEN {literal(e[1])}" for i, e in enumerate(examples))
+    ORACLE_SQL[name] = f"SELECT {KEY}, CASE {KEY} % {len(examples)} {whens} END AS result FROM part"
+
+
+row_titles("text_salvaged_title", [
+    ("12/06/2026 童軍 夏令營訓練班 所有成員 接受報名", "夏令營訓練班"), ("2026年6月3日 深資童軍遠足活動 活動/訓練", "深資童軍遠足活動"), ("行政通告", None), ("TPN/CIR/VS", None), ("KSD2627", None), ("5 June 2026 領袖訓練班 已經結束", "領袖訓練班"),
+    ("特別通告第 12/26 號 周年大會通告", "周年大會通告"), ("", None), (None, None), ("2026-06-03 幼童軍 同樂日活動 幼童軍, 家長", "同樂日活動"),
+])
+
 # Dates, deadlines and fees.
 cases("date_found", dates.find_date, [
     ("2026 年 6 月 30 日 {n}", "2026-06-30"), ("由2026/6/3起", "2026-06-03"), ("30-06-2026", "2026-06-30"), ("2026年13月40日", None), ("2026-12-34 或 31/12/2026", "2026-12-31"), ("2026年2月30日，2026-03-01", "2026-03-01"), ("", None), (None, None),

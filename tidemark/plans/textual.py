@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text, urls
@@ -110,9 +110,14 @@ def line_shapes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.contains(x, F.lit(" | ")))).cast("long").alias("table_lines"))
 
 
-@query()
+LINKS = """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>[^<]*</a>', 1) AS hrefs, regexp_extract_all(html, '<a\\s[^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS texts FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<!--.*?-->', '', 'gs') AS html FROM pages))
+"""
+
+
+@query(LINKS + "SELECT page_id, nth, hrefs[nth] AS href, trim(texts[nth]) AS text FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS nth FROM a) WHERE hrefs[nth] != ''")
 def page_anchors(t: Tables) -> DataFrame:
-    return html.anchors(html.nodes(t.pages)).select("page_id", "pos", "href", "text")
+    found = html.anchors(html.nodes(t.pages)).withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long"))
+    return found.select("page_id", "nth", "href", "text")
 
 
 @query()
@@ -120,12 +125,14 @@ def page_detail_assets(t: Tables) -> DataFrame:
     return html.detail_assets(html.nodes(t.pages))
 
 
-@query()
+@query(LINKS + "SELECT page_id, md5(array_to_string(list_transform(range(1, len(hrefs) + 1), lambda i: hrefs[i] || '|' || trim(texts[i])), '|')) AS fingerprint FROM a")
 def page_fingerprint(t: Tables) -> DataFrame:
     return html.fingerprints(html.nodes(t.pages))
 
 
-@query()
+@query("""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript|template)\\b.*?</(script|style|noscript|template)>', '<x>', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x != '') AS parts FROM c)
+SELECT page_id, array_to_string(parts, ' ') AS text FROM p WHERE len(parts) > 0""")
 def html_text(t: Tables) -> DataFrame:
     return html.text_of(html.nodes(t.pages))
 

@@ -55,21 +55,25 @@ def deliver_once(rows: DataFrame, table: str, keys: list[str], checkpoint: str,
 def publication_stream(observations: DataFrame) -> DataFrame:
     """(url, public_on) whenever a row becomes public: first seen visible, or visible again after it was gone.
 
-    ``observations``: url, observed_on (date), visible. State of a url: its public day and whether it is visible now.
+    ``observations``: url, observed_on (date), visible. State of a url: its public day, whether it is visible now and the last day
+    it was looked at; it is as large as the published table itself and has to last as long. A row that comes after a later one
+    of its url is left out, since what followed it is published.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, shown = state.get if state.exists else (None, False)
+        day, shown, last = state.get if state.exists else (None, False, "")
         rows = pd.concat(list(batches)).sort_values("observed_on")
         out = []
         for seen, visible in zip(rows["observed_on"], rows["visible"], strict=True):
+            if str(seen)[:10] < last:
+                continue
             if visible and not shown:
                 day = str(seen)[:10]
                 out.append((key[0], seen))
-            shown = bool(visible)
-        state.update((day, shown))
+            shown, last = bool(visible), str(seen)[:10]
+        state.update((day, shown, last))
         yield pd.DataFrame(out, columns=["url", "public_on"])
 
-    return observations.groupBy("url").applyInPandasWithState(step, "url string, public_on date", "day string, shown boolean", "append", GroupStateTimeout.NoTimeout)
+    return observations.groupBy("url").applyInPandasWithState(step, "url string, public_on date", "day string, shown boolean, last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def publication_batch(observations: DataFrame) -> DataFrame:
