@@ -122,17 +122,7 @@ cases("page_charset", text.charset, [("big5", "utf-8", "utf-8"), ("big5", "big5"
 cases("page_decoded", lambda h, c: text.decoded(F.unhex(h), c), [("A4A4", "cp950", "中"), ("E4B8AD", "utf-8", "中"), ("D6D0", "gbk", "中"), ("E9", "latin-1", "é"), ("E9", "utf-8", "�")])
 
 
-def row_titles(name: str, examples: Sequence[tuple[str | None, str | None]]) -> None:
-    def run(spark, sf_dir: str) -> DataFrame:
-        pick = F.element_at(F.array(*[F.lit(e[0]) for e in examples]), (F.col(KEY) % len(examples)).cast("int") + 1)
-        return text.title_from_row(Tables(spark, sf_dir).part.select(KEY, pick.alias("row")), "row", "result").select(KEY, "result")
-
-    QUERIES[name] = run
-    whens = " ".join(f"WHEN {i} THEN {literal(e[1])}" for i, e in enumerate(examples))
-    ORACLE_SQL[name] = f"SELECT {KEY}, CASE {KEY} % {len(examples)} {whens} END AS result FROM part"
-
-
-row_titles("text_salvaged_title", [
+cases("text_salvaged_title", text.title_from_row, [
     ("12/06/2026 童軍 夏令營訓練班 所有成員 接受報名", "夏令營訓練班"), ("2026年6月3日 深資童軍遠足活動 活動/訓練", "深資童軍遠足活動"), ("行政通告", None), ("TPN/CIR/VS", None), ("KSD2627", None), ("5 June 2026 領袖訓練班 已經結束", "領袖訓練班"),
     ("特別通告第 12/26 號 周年大會通告", "周年大會通告"), ("", None), (None, None), ("2026-06-03 幼童軍 同樂日活動 幼童軍, 家長", "同樂日活動"),
 ])
