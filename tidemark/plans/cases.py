@@ -224,3 +224,52 @@ def notice_tags(spark, sf_dir: str) -> DataFrame:
 
 QUERIES["notice_tags"] = notice_tags
 ORACLE_SQL["notice_tags"] = f"SELECT {KEY}, CASE {KEY} % {len(TAGGED)} " + " ".join(f"WHEN {i} THEN {literal(e[4])}" for i, e in enumerate(TAGGED)) + f" END AS sections, CASE {KEY} % {len(TAGGED)} " + " ".join(f"WHEN {i} THEN {literal(e[5])}" for i, e in enumerate(TAGGED)) + " END AS topics FROM part"
+
+
+# Pages: one for each row of the table, written from its key.
+PAGE = (
+    '<html><head><script>var a = "</p>";</script></head><body><h2>Notices of {n}</h2><table><tr><td>Row title {n}</td><td><ul><li>inner</li></ul><a href="/{n}.pdf">here</a></td></tr></table>'
+    '<ul><li>Second row {n} <a href="b{n}.pdf" title="T{n}"></a></li></ul><a data-id="7{n}" href="">Card {n}</a><a data-id="7{n}" href="">again</a>'
+    '<p>Title of frame {n}</p><iframe src="https://x.org/frame/{n}"></iframe><a href="/list?page=2">2</a><a href="/list?page=3">3</a><a href="/list?page=2">again</a>'
+    '<meta http-equiv="refresh" content="0; URL=\'https://x.org/{n}.pdf\'"></body></html>'
+)
+
+
+def made_pages(spark, sf_dir: str) -> DataFrame:
+    n = F.col(KEY).cast("string")
+    return html.nodes(Tables(spark, sf_dir).part.select(KEY, F.replace(F.lit(PAGE), F.lit("{n}"), n).alias("html")), KEY)
+
+
+def of_pages(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(made_pages(spark, sf_dir))
+    ORACLE_SQL[name] = sql
+
+
+of_pages("page_row_titles", lambda f: html.row_titles(f, KEY).where("row > 0").select(KEY, "href", "title"), f"SELECT {KEY}, '/' || {KEY} || '.pdf' AS href, 'Row title ' || {KEY} AS title FROM part UNION ALL SELECT {KEY}, 'b' || {KEY} || '.pdf', 'Second row ' || {KEY} FROM part")
+of_pages("page_link_texts", lambda f: html.anchors(f).where("row > 0").select(KEY, "href", "text"), f"SELECT {KEY}, '/' || {KEY} || '.pdf' AS href, 'here' AS text FROM part UNION ALL SELECT {KEY}, 'b' || {KEY} || '.pdf', 'T' || {KEY} FROM part")
+of_pages("page_cards", lambda f: html.cards(f, KEY).select(KEY, "card_id", "title", "href"), f"SELECT {KEY}, '7' || {KEY} AS card_id, 'Card ' || {KEY} AS title, '/notice/?nid=7' || {KEY} AS href FROM part")
+of_pages("page_frames", lambda f: html.nearest_text(f, KEY).select(KEY, "href", "title"), f"SELECT {KEY}, 'https://x.org/frame/' || {KEY} AS href, 'Title of frame ' || {KEY} AS title FROM part")
+of_pages("page_listings", lambda f: html.listing_pages(f, "page=", 1, KEY).select(KEY, "href"), f"SELECT {KEY}, '/list?page=2' AS href FROM part")
+of_pages("page_assets", lambda f: html.detail_assets(f, KEY).where("how != 'a'").select(KEY, "href", "how"), f"SELECT {KEY}, 'https://x.org/frame/' || {KEY} AS href, 'iframe' AS how FROM part UNION ALL SELECT {KEY}, 'https://x.org/' || {KEY} || '.pdf', 'refresh' FROM part")
+
+
+def payload_rows(spark, sf_dir: str) -> DataFrame:
+    n = F.col(KEY).cast("string")
+    payload = F.replace(F.lit('x {"title":"A {b} {n}","pdf":"","link":"l{n}"} y {bad} {"title":"C","pdf":"p{n}"}'), F.lit("{n}"), n)
+    rows = Tables(spark, sf_dir).part.select(KEY, payload.alias("payload"))
+    return html.payload_rows(rows, "payload", "title string, pdf string, link string").select(KEY, "title", "href")
+
+
+QUERIES["payload_rows"] = payload_rows
+ORACLE_SQL["payload_rows"] = f"SELECT {KEY}, 'A {{b}} ' || {KEY} AS title, 'l' || {KEY} AS href FROM part UNION ALL SELECT {KEY}, 'C', 'p' || {KEY} FROM part"
+
+
+def asset_joins(spark, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    items = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("asset_id"))
+    assets = t.part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("url"))
+    return html.joined_assets(items, assets).select("l_orderkey", "l_linenumber", "asset_url")
+
+
+QUERIES["asset_joins"] = asset_joins
+ORACLE_SQL["asset_joins"] = "SELECT l_orderkey, l_linenumber, p_name AS asset_url FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25"
