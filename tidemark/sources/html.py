@@ -40,6 +40,8 @@ class Parser(HTMLParser):
         elif tag in ("tr", "li"):
             self.rows += 1
             self.inside.append([tag, self.rows])
+        elif tag in ("table", "ul", "ol"):
+            self.inside.append([tag, self.row])
         elif tag == "body":
             self.silent.clear()
         if tag in ADDRESSES:
@@ -56,7 +58,7 @@ class Parser(HTMLParser):
         elif tag in ("tr", "li"):
             self.unwind(self.inside, tag)
         elif tag in ("table", "ul", "ol"):
-            self.unwind(self.inside, "tr" if tag == "table" else "li")
+            self.unwind(self.inside, tag)
         elif tag in ("head", "body"):
             self.silent.clear()
         elif tag in ("a", "object"):
