@@ -34,8 +34,8 @@ HIDDEN = 24
 EPOCHS = 150
 #: Distinct words that a task counts before it passes the counts on, and tokens that it deals out at a time.
 COUNTED, DEALT, DEALT_ROWS = 400_000, 1 << 20, 1 << 16
-#: Tokens of one part of the contexts: a task holds one part at a time.
-PART_TOKENS = 1 << 21
+#: Tokens of one part of the contexts, of which a task holds one at a time, and parts that a task deals with, so that tasks even out.
+PART_TOKENS, PARTS_A_TASK = 1 << 19, 4
 #: A context met as often elsewhere weighs as much as the network.
 DOUBT = 1.0
 #: In the spelling model a longer history that was seen so often weighs as much as the shorter one.
@@ -482,9 +482,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     rid, other = fresh({*docs.columns, *names.values()}, "row_id", "row_of")
     id_ = F.xxhash64(f"`{key}`", f"`{text}`")
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or max(shuffled, model.tokens // PART_TOKENS + 1)
+    parts = parts or max(PARTS_A_TASK * shuffled, model.tokens // PART_TOKENS + 1)
     rows = docs.select(id_.alias("rid"), F.col(f"`{text}`").cast("binary").alias("raw"))
-    deal = dealt(rows, model, parts).repartition(max(shuffled, parts), "part").sortWithinPartitions("part")
+    deal = dealt(rows, model, parts).repartition(max(shuffled, parts // PARTS_A_TASK), "part").sortWithinPartitions("part")
     added = contexts_added(deal).repartition(shuffled, "chunk").sortWithinPartitions("chunk", F.desc("own"))
     scores = row_scores(added).groupBy("rid").agg(F.max("n").alias("n"), F.avg("log").alias("log"))
     scores = scores.select(F.col("rid").alias(other), F.col("n").alias(names["n_tokens"]), F.col("log").alias(names["log_prob"]))
