@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: rules, near-duplicates, benchmark passages, source weights, shards.
 
-Each stage works on all rows that the one before kept; all but the last return the columns of ``documents``.
+Each stage works on all rows that the one before kept; all but the last return the columns of ``documents``, whatever their types and
+names. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -14,22 +15,25 @@ SHARDS = 8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the weighed rules reject go."""
+    """Texts that the weighed rules reject go, null and empty ones among them; repeated rows fare alike, long texts are read whole."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts joined by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, that with the smallest doc_id stays."""
+    """Of texts joined by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, that with the smallest doc_id stays.
+
+    SimHash blocks propose the pairs. Texts without words are one group; a null doc_id is larger than any other; of equal rows one stays.
+    """
     return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a benchmark window go."""
+    """Texts with a benchmark window go; texts without words stay, null benchmark items have no windows."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same expected number of rows, and all rows together as many as came in."""
+    """Every source gets the same expected number of rows, and all rows together as many as came in. The null source is a source; null keys count as ''."""
     return mixing.mix(docs)
 
 
