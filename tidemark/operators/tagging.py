@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, money, urls
 from ..functions.audience import audience_in, scope
 from ..functions.text import match_text, nfkc, reconciled
-from .classify import EMPTY, category_topic, classify, course_topics, is_reference, named_topics, sections_of
+from .classify import EMPTY, category_topic, classify, is_reference, named_topics, sections_of, topic_aliases
 
 # Days for which a notice without fields is tried again, and the errors of a file that could not be read.
 CATCH_UP_DAYS = 7
@@ -26,40 +26,64 @@ def tagged(notices: DataFrame, topics: DataFrame, names: dict[str, str], tools_s
     nothing. Courses of other sections don't count, reference documents name no course, and the topics of a section's whole
     training follow the category, unless the topic that they exclude is there.
     """
-    texts = notices.withColumns({"_title_form": match_text(F.col("title")), "_text_form": match_text(F.col("text")), "_said": match_text(F.coalesce(F.nullif(F.trim("audience"), F.lit("")), F.nullif(F.trim("hint"), F.lit(""))))})
+    # Dealt out by key before any work: names, sections and the join by key then need no other exchange.
+    texts = notices.repartition(F.col(key)).withColumns({"_title_form": match_text(F.col("title")), "_text_form": match_text(F.col("text")), "_said": match_text(F.coalesce(F.nullif(F.trim("audience"), F.lit("")), F.nullif(F.trim("hint"), F.lit(""))))})
     found = classify(texts, "title", "text", "source", tools_sources=tools_sources)
     found = found.withColumns({"_sections": sections_of(F.col("_title_form"), F.col("_said"), names), "_reference": is_reference(F.col("_title_form"), F.col("_text_form"))})
-    named = course_topics(found.where(~F.col("_reference")), topics, key, "_title_form", "_text_form")
-    of_topic = topics.select(F.col("id").alias("topic_id"), F.filter(F.coalesce("branches", F.expr(EMPTY)), lambda b: b != "*").alias("of_sections"), F.coalesce(F.array_contains("branches", "*"), F.lit(False)).alias("of_all"), F.coalesce("section", F.lit("")).alias("section"))
-    courses = named.join(of_topic, "topic_id")
-    fallback = courses.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("of_sections"))).alias("_course_sections"))
-    found = found.join(fallback, key, "left")
+    course = F.col("topic_id.kind") == "course"
+    names_ = topic_aliases(topics).withColumn("topic_id", kind_and_id("course")).unionByName(training_aliases(topics).withColumn("topic_id", kind_and_id("training")))
+    of_topic = topics.select(kind_and_id("course", "id").alias("topic_id"), F.filter(F.coalesce("branches", F.expr(EMPTY)), lambda b: b != "*").alias("of_sections"), F.coalesce(F.array_contains("branches", "*"), F.lit(False)).alias("of_all"), F.coalesce("section", F.lit("")).alias("section"))
+    named = named_topics(found, names_, key, "_title_form", "_text_form").join(F.broadcast(of_topic), "topic_id", "left").where(~course | F.col("of_sections").isNotNull())
+    hits = named.groupBy(key).agg(*[F.collect_list(F.when(which, F.struct(F.col("topic_id.id").alias("topic_id"), "evidence", "of_sections", "of_all", "section"))).alias(out) for which, out in ((course, "_courses"), (~course, "_named"))])
+    nothing = F.filter("_courses", lambda x: F.lit(False))
+    # As many rows as notices: a size estimate must not make a broadcast of it.
+    found = found.join(hits.hint("merge"), key, "left").withColumn("_courses", F.when(~F.col("_reference"), F.col("_courses")).otherwise(nothing))
     silent = (F.size("_sections") == 0) & (F.col("_said") == "")
-    found = found.withColumn("branch_tags", F.array_sort(F.when(silent, F.coalesce("_course_sections", F.expr(EMPTY))).otherwise(F.col("_sections"))))
-    taken = courses.join(found.select(key, "branch_tags"), key).where((F.size("branch_tags") == 0) | F.col("of_all") | F.arrays_overlap("of_sections", "branch_tags"))
-    own = topics.select(F.col("id").alias("topic_id"))
-    by_category = found.select(key, category_topic(F.col("category")).alias("topic_id"), F.col("category.evidence").alias("evidence")).join(own, "topic_id").select(key, "topic_id", "evidence")
-    known = by_category.unionByName(taken.select(key, "topic_id", "evidence"))
-    whole = training_topics(found, topics, taken.select(key, "section").where("section != ''").distinct(), known, key)
-    all_ = known.unionByName(whole).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("topic_id", "evidence"))).alias("tag_evidence"))
-    out = found.join(all_, key, "left")
-    tags = F.coalesce(F.transform("tag_evidence", lambda x: x["topic_id"]), F.expr(EMPTY))
-    return out.select(*notices.columns, "category", "branch_tags", tags.alias("subscription_tags"), "tag_evidence")
-
-
-def training_topics(found: DataFrame, topics: DataFrame, sections: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """(key, topic_id, evidence) of topics that stand for all training of a section: of training notices for one of its sections; a topic
-    with a course section needs a course of it, or else one of its aliases if it has any."""
-    wide = topics.where("kind = 'training'").select(F.col("id").alias("topic_id"), F.explode("branches").alias("branch"), F.coalesce("section", F.lit("")).alias("section"), F.size(F.coalesce("aliases", F.expr(EMPTY))).alias("n_aliases"), "excludes_topic")
-    asked = found.where("category.id = 'training'").select(key, F.explode("branch_tags").alias("branch"))
-    met = asked.join(wide, "branch").groupBy(key, "topic_id").agg(F.first("section").alias("section"), F.first("n_aliases").alias("n_aliases"), F.first("excludes_topic").alias("excludes_topic"), F.array_sort(F.collect_set("branch")).alias("evidence"))
-    met = met.join(sections.withColumn("_course", F.lit(True)), [key, "section"], "left")
-    names = topics.where("kind = 'training'").select(F.col("id").alias("topic_id"), F.explode("aliases").alias("alias"), F.coalesce("exclude", F.expr(EMPTY)).alias("excluded"))
-    by_name = named_topics(found, names, key, "_title_form", "_text_form").withColumnRenamed("evidence", "_named")
-    met = met.join(by_name, [key, "topic_id"], "left").where("_course OR n_aliases = 0 OR _named IS NOT NULL")
-    blocked = known.select(key, F.col("topic_id").alias("excludes_topic"))
-    evidence = F.when(F.col("_course"), F.array("section")).when(F.col("n_aliases") > 0, F.col("_named")).otherwise(F.col("evidence"))
-    return met.join(blocked, [key, "excludes_topic"], "left_anti").select(key, "topic_id", evidence.alias("evidence"))
+    course_sections = F.array_distinct(F.flatten(F.transform("_courses", lambda x: x["of_sections"])))
+    found = found.withColumn("branch_tags", F.array_sort(F.when(silent, F.coalesce(course_sections, F.expr(EMPTY))).otherwise(F.col("_sections"))))
+    found = found.withColumn("_taken", F.filter("_courses", lambda x: (F.size("branch_tags") == 0) | x["of_all"] | F.arrays_overlap(x["of_sections"], F.col("branch_tags"))))
+    found = found.withColumn("_topic", category_topic(F.col("category"))).crossJoin(F.broadcast(training_topics(topics)))
+    no_tags = F.expr("CAST(array() AS array<struct<topic_id: string, evidence: array<string>>>)")
+    own = F.when(F.array_contains("_ids", F.col("_topic")), F.array(F.struct(F.col("_topic").alias("topic_id"), F.col("category.evidence").alias("evidence")))).otherwise(no_tags)
+    taken = F.coalesce(F.transform("_taken", lambda x: F.struct(x["topic_id"].alias("topic_id"), x["evidence"].alias("evidence"))), no_tags)
+    found = found.withColumn("_known", F.concat(own, taken))
+    found = found.withColumn("_all", F.concat("_known", F.when(F.col("category.id") == "training", whole_training()).otherwise(no_tags)))
+    tags = F.when(F.size("_all") > 0, F.array_sort("_all"))
+    return found.select(*notices.columns, "category", "branch_tags", F.coalesce(F.transform(tags, lambda x: x["topic_id"]), F.expr(EMPTY)).alias("subscription_tags"), tags.alias("tag_evidence"))
+
+
+def kind_and_id(kind: str, column: str = "topic_id") -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.col(column).alias("id"))
+
+
+def training_aliases(topics: DataFrame) -> DataFrame:
+    """(topic_id, alias, excluded) of the topics that stand for all training of a section."""
+    return topics.where("kind = 'training'").select(F.col("id").alias("topic_id"), F.explode("aliases").alias("alias"), F.coalesce("exclude", F.expr(EMPTY)).alias("excluded"))
+
+
+def training_topics(topics: DataFrame) -> DataFrame:
+    """One row: ``_ids`` of all topics, ``_wide``: the topics that stand for all training of a section."""
+    wide = F.struct(F.col("id").alias("topic_id"), "branches", F.coalesce("section", F.lit("")).alias("section"), F.size(F.coalesce("aliases", F.expr(EMPTY))).alias("n_aliases"), "excludes_topic")
+    return topics.agg(F.collect_list("id").alias("_ids"), F.collect_list(F.when(F.col("kind") == "training", wide)).alias("_wide"))
+
+
+def whole_training() -> Column:
+    """(topic_id, evidence) of ``_wide`` that a training notice takes for one of its sections; a topic with a course section needs
+    a course of it, or else one of its aliases if it has any; none whose excluded topic is known."""
+    def named(w: Column) -> Column:
+        return F.get(F.filter("_named", lambda x: x["topic_id"] == w["topic_id"]), F.lit(0))["evidence"]
+
+    def course(w: Column) -> Column:
+        return (w["section"] != "") & F.coalesce(F.exists("_taken", lambda x: x["section"] == w["section"]), F.lit(False))
+
+    def met(w: Column) -> Column:
+        blocked = F.coalesce(F.exists("_known", lambda x: x["topic_id"] == w["excludes_topic"]), F.lit(False))
+        return F.arrays_overlap(w["branches"], F.col("branch_tags")) & (course(w) | (w["n_aliases"] == 0) | named(w).isNotNull()) & ~blocked
+
+    def evidence(w: Column) -> Column:
+        return F.when(course(w), F.array(w["section"])).when(w["n_aliases"] > 0, named(w)).otherwise(F.array_sort(F.array_intersect(w["branches"], F.col("branch_tags"))))
+
+    return F.transform(F.filter("_wide", met), lambda w: F.struct(w["topic_id"].alias("topic_id"), evidence(w).alias("evidence")))
 
 
 def with_fields(notices: DataFrame) -> DataFrame:
