@@ -140,7 +140,7 @@ def follows_details(explicit: Column, kind: Column, kinds: Sequence[str] = ARTIC
 
 
 def folder_keys(found: DataFrame) -> DataFrame:
-    """(folder_id, resource_key) of each folder once: its first key if it is named with one, else ''. ``found``: folder_id, resource_key, pos."""
+    """(folder_id, resource_key) of each folder once: its first key if it is named with one, else ''. ``found``: folder_id, resource_key, pos (any ordered type, no place twice in a folder)."""
     keyed = F.coalesce("resource_key", F.lit("")) != ""
     return found.groupBy("folder_id").agg(F.coalesce(F.min_by("resource_key", F.when(keyed, F.col("pos"))), F.lit("")).alias("resource_key"))
 

@@ -145,7 +145,9 @@ def fetch_gates(t: Tables) -> DataFrame:
 @query("""SELECT l_partkey AS folder_id, coalesce(arg_min('k' || l_suppkey, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_linenumber > 2), '') AS resource_key FROM lineitem GROUP BY l_partkey""")
 def drive_folder_keys(t: Tables) -> DataFrame:
     key = F.when(F.col("l_linenumber") > 2, F.concat(F.lit("k"), F.col("l_suppkey").cast("string"))).otherwise("")
-    return records.folder_keys(t.lineitem.select(F.col("l_partkey").alias("folder_id"), key.alias("resource_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")))
+    # Lines of one place in an order are taken as they stand in the table.
+    place = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return records.folder_keys(t.lineitem.select(F.col("l_partkey").alias("folder_id"), key.alias("resource_key"), place.alias("pos")))
 
 
 @query("""SELECT count(*) AS daily_new FROM (SELECT o_orderpriority, 'u' || o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-06-17' AND o_orderkey % 2 = 0 UNION SELECT o_orderpriority, 'u' || o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-06-17' AND o_orderkey % 3 = 0)""")
