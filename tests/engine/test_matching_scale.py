@@ -61,7 +61,7 @@ def test_pairs_meet_no_shuffle(spark, sf, name):
     assert "part#" in above[-1] and not re.search("Exchange|Aggregate", "\n".join(above)), "\n".join(above)
 
 
-@pytest.mark.parametrize("batches", [False])
+@pytest.mark.parametrize("batches", [False, True])
 def test_files_of_pairs_are_small(spark, tmp_path, batches):
     none = F.array().cast("array<string>")
     subs = spark.range(1011).select(F.col("id").alias("sub_id"), none.alias("branch_ids"), F.array(F.lit("all:notices")).alias("topic_ids"))
